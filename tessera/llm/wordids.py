@@ -7,25 +7,52 @@ of its words, one after another.  Words repeat; each distinct word is encoded by
 
 from __future__ import annotations
 
+import gc
+import re
+import unicodedata
+
 import numpy as np
 
 #: Bytes of words and ids that a worker keeps before it starts its cache anew.
-CACHE_BYTES = 160_000_000
+CACHE_BYTES = 300_000_000
 _ENTRY = 150  # of a dict entry and two bytes objects, roughly
 
+# Words of code points below _PLAIN, but for the excepted ones, fall into runs by a
+# plain rule: letters, one number, or anything else.  Apostrophes start contractions
+# and "<|" special tokens; two of the others are white space, one lower-cases to two.
+_PLAIN = "\u0250"
+_EXCEPT = re.compile("[^\\x00-\u024f]|['\x85\xa0\u0130]|<\\|")
+_LETTERS, _NUMBERS = ("".join(re.escape(c) for c in map(chr, range(ord(_PLAIN))) if unicodedata.category(c)[0] == kind) for kind in "LN")
+_RUNS = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """How a byte-level vocabulary spells bytes: printable ones as themselves, others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
 _WORKERS: dict[str, WordIds] = {}
 
 
 class WordIds:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        self.bare = Tokenizer(self.tok.model)  # for runs that are already normal and split
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.spell = _byte_letters() | {32: " "}
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
+        self._forget()
+
+    def _forget(self) -> None:
         self.words: dict[bytes, bytes] = {}
+        self.runs: dict[bytes, bytes] = {}
         self.held = 0
 
     @classmethod
@@ -34,55 +61,64 @@ class WordIds:
             _WORKERS[path] = cls(path)
         return _WORKERS[path]
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _encode_letters(self, words: list[str]) -> list[bytes]:
-        """Words of letters only: each is one piece, whose last id alone ends a word."""
-        out: list[bytes] = []
-        for k in range(0, len(words), 2000):
-            part = words[k : k + 2000]
-            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+    def _encode_runs(self, runs: list[bytes]) -> None:
+        """Each run is one piece, whose last id alone ends a word."""
+        for k in range(0, len(runs), 2000):
+            part = runs[k : k + 2000]
+            spelled = b" ".join(part).decode("latin-1").translate(self.spell)
+            ids = np.array(self.bare.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part) or cuts[-1] != len(ids):
-                out += self._encode(part)  # a letter that lower-cases to more than letters
-                continue
+            assert len(cuts) == len(part) and cuts[-1] == len(ids), "a run is not one piece"
             raw, at = ids.tobytes(), 0
-            for cut in (cuts * 4).tolist():
-                out.append(raw[at:cut])
+            for run, cut in zip(part, (cuts * 4).tolist(), strict=True):
+                self.runs[run] = raw[at:cut]
                 at = cut
-        return out
 
     def _learn(self, missing: set[bytes]) -> None:
-        letters, others, spelled = {}, [], []
+        known, words, several, others = self.runs, [], [], []
         for word in missing:
-            text = word.decode()
-            body, end = (text[:-1], text[-1]) if text[-1] in ".,;:!?" else (text, "")
-            if body.isalpha():
-                body = body.lower() if body.isascii() else body
-                letters[body] = b""
-                spelled.append((word, body, end))
-            else:
+            body = word[:-1]
+            if word.isalpha():  # ASCII letters
+                words.append((word, word.lower(), b""))
+            elif body.isalpha() and word[-1] in b".,;:!?":
+                words.append((word, body.lower(), word[-1:]))
+            elif _EXCEPT.search(text := word.decode()):
                 others.append(word)
-        letters = dict(zip(letters, self._encode_letters(list(letters)), strict=True))
-        ends = dict(zip(ends := ".,;:!?", self._encode(list(ends)), strict=True)) | {"": b""}
-        for word, body, end in spelled:
-            self.words[word] = letters[body] + ends[end]
+            elif text.isalpha():
+                words.append((word, text.lower().encode(), b""))
+            else:
+                several.append((word, [r.encode() for r in _RUNS.findall(text.lower())]))
+        fresh = {run for _, run, _ in words}.union((end for *_, end in words if end), *(runs for _, runs in several)).difference(known)
+        if fresh:
+            self._encode_runs(list(fresh))
+        for word, run, end in words:
+            self.words[word] = known[run] + known[end] if end else known[run]
+        for word, runs in several:
+            self.words[word] = b"".join([known[r] for r in runs])
         for k in range(0, len(others), 20_000):
             part = others[k : k + 20_000]
-            self.words.update(zip(part, self._encode([w.decode() for w in part]), strict=True))
-        self.held += sum(_ENTRY + 6 * len(w) for w in missing)
+            found = self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            self.words.update(zip(part, (np.array(e.ids, dtype="<u4").tobytes() for e in found), strict=True))
+        self.held += sum(_ENTRY + 6 * len(w) for w in missing) + sum(_ENTRY + 6 * len(r) for r in fresh)
 
     def batch(self, texts: list[bytes]) -> list[bytes]:
         """For each text (UTF-8), its ids as little-endian unsigned 32-bit numbers."""
-        split = [t.split() for t in texts]
-        missing: set[bytes] = set()
-        for words in split:
-            missing.update(words)
         if self.held > CACHE_BYTES:
-            self.words, self.held = {}, 0
-        missing.difference_update(self.words)
+            self._forget()
+        gc.disable()  # nothing here is cyclic, and a collection would walk the whole cache
+        try:
+            return self._batch(texts)
+        finally:
+            gc.enable()
+
+    def _batch(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]
+        get = self.words.get
+        found = [list(map(get, words)) for words in split]
+        missing = {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
         if missing:
             self._learn(missing)
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            for words, ids in zip(split, found, strict=True):
+                if None in ids:
+                    ids[:] = [self.words[w] if i is None else i for w, i in zip(words, ids, strict=True)]
+        return [b"".join(ids) for ids in found]
