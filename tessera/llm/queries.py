@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, packing, secrets
+from tessera.llm import fingerprints, mixing, packing, secrets
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         secrets.op3_secret_scans,
         mixing.op6_mixing,
+        fingerprints.op7_fingerprints,
         packing.op9_best_fit_packing,
     )
 }
