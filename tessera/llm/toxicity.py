@@ -23,6 +23,8 @@ HASH_BITS = 20
 FACTORS = 8
 #: Terms of the machine, by how well each alone tells the labels apart.
 TERMS = 1024
+#: Standard deviations that a term's rates under the two labels must differ by.
+LEAST_Z = 3.3
 #: Labelled rows that a model is fitted on, at most, taken in the order of a hash of doc_id.
 FIT_ROWS = 20_000
 THRESHOLD = 0.3
@@ -157,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int
     a, b = F.col("n1") + 0.5, F.col("n0") + 0.5
     p = (a + b) / (n0 + n1 + 1)
     z = (a / (n1 + 0.5) - b / (n0 + 0.5)) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
-    best = per.where("term >= 0 and n0 + n1 >= 3").where(p < 0.95).select("term", F.abs(z).alias("z")).orderBy(F.desc("z"), "term").limit(terms).collect()
+    best = per.where("term >= 0 and n0 + n1 >= 3").where(p < 0.95).select("term", F.abs(z).alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(terms).collect()
     slots = np.full(1 << HASH_BITS, -1, dtype=np.int32)
     slots[[r["term"] for r in best]] = np.arange(len(best))
 
