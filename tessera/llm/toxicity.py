@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import table
+from tessera.llm.common import staged, table
 
 HASH_BITS = 20
 FACTORS = 8
@@ -28,7 +28,7 @@ LEAST_Z = 3.3
 #: Labelled rows that a model is fitted on, at most, taken in the order of a hash of doc_id.
 FIT_ROWS = 20_000
 THRESHOLD = 0.3
-_BLOCK = 1 << 21  # bytes of text that are hashed at once
+_BLOCK = 1 << 20  # bytes of text that are hashed at once
 _SPACE = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
@@ -139,6 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("y", "text")
+    rows = staged(rows.repartition(32), "fit")  # bounded by fit_rows, and read three times
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, 1 << HASH_BITS), dtype=np.int64)
