@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import fingerprints, mixing, packing, secrets, tokencounts, toxicity
+from tessera.llm import fingerprints, jaccard, mixing, packing, secrets, tokencounts, toxicity
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         tokencounts.op1_token_counts,
         toxicity.op5_toxicity,
+        jaccard.op2_ngram_jaccard,
         secrets.op3_secret_scans,
         mixing.op6_mixing,
         fingerprints.op7_fingerprints,
