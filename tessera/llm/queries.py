@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import fingerprints, jaccard, mixing, packing, secrets, tokencounts, toxicity
+from tessera.llm import fingerprints, jaccard, mixing, neardup, packing, secrets, tokencounts, toxicity
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -18,6 +18,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         mixing.op6_mixing,
         fingerprints.op7_fingerprints,
         packing.op9_best_fit_packing,
+        neardup.op10_embedding_neardup,
     )
 }
 
