@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import fingerprints, jaccard, mixing, neardup, packing, secrets, tokencounts, toxicity
+from tessera.llm import chat, fingerprints, jaccard, mixing, neardup, packing, secrets, tokencounts, toxicity
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -15,6 +15,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         toxicity.op5_toxicity,
         jaccard.op2_ngram_jaccard,
         secrets.op3_secret_scans,
+        chat.op4_chat_formatting,
         mixing.op6_mixing,
         fingerprints.op7_fingerprints,
         packing.op9_best_fit_packing,
@@ -28,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_formatting": chat.OP4_SQL}
