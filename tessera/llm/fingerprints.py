@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
-#: Letters and digits in runs of up to 12; anything else but white space, and scripts written without spaces, one by one.
-TOKEN = r"[\p{L}\p{M}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]]{1,12}|\S"
+#: Scripts written without spaces, whose characters are tokens one by one.
+UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
+SPACE = r"[\x20\x09-\x0D]+"
 KMER = 2
 BIN_BITS = 6
 PICKED = 2
 _VALUE_BITS = 16
+_PLACE_BITS = 20
 #: Rows that a range of doc_ids should have, and the ranges that are told apart by frequency.
 RANGE_ROWS = 500
 RANGES = 128
@@ -35,25 +37,30 @@ def order_minhash(text: Column, k: int = KMER, bin_bits: int = BIN_BITS, picked:
     """Array of ints, one for each bin that has k-mers: bin * 65536 + 16 bits of its tuple's hash.
 
     A null text counts as empty and has no entries; a text of fewer than ``k``
-    tokens has one k-mer of all of them.
+    tokens has one k-mer of all of them.  Hashes and places share a long, 44 bits
+    and 20, so that arrays of plain numbers are sorted; beyond 2**20 tokens places
+    start anew, which only changes how the few picked of one bin are ordered.
     """
     shift = 64 - bin_bits
+    place = (1 << _PLACE_BITS) - 1
+    pack = lambda h, at: h.bitwiseAND(~place).bitwiseOR(at.bitwiseAND(place))
+    own_hash = lambda x: F.shiftright(x, _PLACE_BITS)
+    own_bin = lambda x: F.shiftrightunsigned(x, shift)
 
     def kmers(h: Column) -> Column:
         n = F.greatest(F.size(h) - (k - 1), F.least(F.size(h), F.lit(1)))
-        return F.transform(F.slice(h, 1, n), lambda x, i: F.struct(F.xxhash64(x, *(F.get(h, i + j) for j in range(1, k))).alias("h"), i.alias("at")))
+        return F.transform(F.slice(h, 1, n), lambda x, i: pack(F.xxhash64(x, *(F.get(h, i + j) for j in range(1, k))), i.cast("long")))
 
     def numbered(a: Column) -> Column:
         """Equal k-mers stand together in ``a``: a k-mer's number is its place in its run."""
-        fresh = lambda i: (i == 0) | (F.get(a, i)["h"] != F.get(a, i - 1)["h"])
-        starts = F.filter(F.transform(a, lambda x, i: F.when(fresh(i), i)), lambda i: i.isNotNull())
+        starts = F.filter(F.transform(a, lambda x, i: F.when((i == 0) | (own_hash(x) != own_hash(F.get(a, i - 1))), i)), lambda i: i.isNotNull())
         runs = _let(starts, lambda s: F.transform(s, lambda x, j: F.sequence(F.lit(0), F.coalesce(F.get(s, j + 1), F.size(a)) - x - 1)))
-        return F.zip_with(a, F.flatten(runs), lambda x, o: F.struct(F.xxhash64(x["h"], o).alias("u"), x["at"].alias("at"), x["h"].alias("h")))
+        return F.zip_with(a, F.flatten(runs), lambda x, o: pack(F.xxhash64(own_hash(x), o), x))
 
     def smallest(b: Column) -> Column:
-        own = lambda x: F.shiftrightunsigned(x["u"], shift)
-        kept = F.filter(b, lambda x, i: (i < picked) | (own(F.get(b, i - picked)) != own(x)))
-        return F.sort_array(F.transform(kept, lambda x: F.struct(own(x).cast("int").alias("bin"), x["at"].alias("at"), x["h"].alias("h"))))
+        """The picked of each bin, as structs that sort by bin and place."""
+        kept = F.filter(b, lambda x, i: (i < picked) | (own_bin(F.get(b, i - picked)) != own_bin(x)))
+        return F.sort_array(F.transform(kept, lambda x: F.struct(own_bin(x).cast("int").alias("bin"), x.bitwiseAND(place).alias("at"), own_hash(x).alias("h"))))
 
     def tuples(c: Column) -> Column:
         same = lambda x, y: F.when(y["bin"] == x["bin"], y["h"])
@@ -65,7 +72,8 @@ def order_minhash(text: Column, k: int = KMER, bin_bits: int = BIN_BITS, picked:
 
         return F.filter(F.transform(c, entry), lambda e: e.isNotNull())
 
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+    spaced = F.coalesce(F.when(text.rlike(UNSPACED), F.regexp_replace(text, UNSPACED, " $1 ")).otherwise(text), F.lit(""))
+    tokens = F.filter(F.split(spaced, SPACE, -1), lambda t: t != "")
     hashes = F.transform(tokens, lambda t: F.xxhash64(t))
     return _let(_let(_let(_let(hashes, lambda h: F.sort_array(kmers(h))), lambda a: F.sort_array(numbered(a))), smallest), tuples)
 
@@ -82,13 +90,14 @@ def as_text(entries: Column) -> Column:
     return F.array_join(F.transform(entries, lambda e: F.lower(F.lpad(F.hex(e), 6, "0"))), "")
 
 
-def with_next(docs: DataFrame, *columns: str) -> DataFrame:
-    """``docs`` with next_<c> for each column: the row that follows in descending doc_id.
+def with_next(docs: DataFrame, derive: Callable[[DataFrame], DataFrame], *columns: str) -> DataFrame:
+    """``derive(docs)`` with next_<c> for each column: of the row that follows in descending doc_id.
 
-    The first row follows the last; rows of one doc_id stand in the order of their
-    texts, and null doc_ids come last.  Rows are shuffled once, by ranges of
-    doc_id: RANGES of about equal frequency, each cut evenly as far as its rows
-    ask for.  Only a range's last row is joined with the first of the next range.
+    ``docs`` has doc_id and text, and ``derive`` adds columns row by row.  The first
+    row follows the last; rows of one doc_id stand in the order of their texts, and
+    null doc_ids come last.  Rows are shuffled once, by ranges of doc_id: RANGES of
+    about equal frequency, each cut evenly as far as its rows ask for.  What a
+    range's last row needs, the first of the next range, is looked up by doc_id.
     """
     at = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     quantiles = [i / RANGES for i in range(1, RANGES)]
@@ -98,26 +107,26 @@ def with_next(docs: DataFrame, *columns: str) -> DataFrame:
     low, high = (F.array(*(F.lit(c).cast("long") for c in x)) for x in (cuts, [*cuts[1:], cuts[-1] + 1]))
     coarse = _let(F.size(F.filter(low, lambda c: c <= at)), lambda i: F.struct(i.alias("i"), F.get(low, i - 1).alias("lo"), F.get(high, i - 1).alias("hi")))
     fine = F.when(F.col("_r.i") == 0, 0).otherwise(F.floor((at.cast("double") - F.col("_r.lo")) / (F.col("_r.hi") - F.col("_r.lo")) * parts))
-    order = [at.desc(), F.col("text")]
-    inside = Window.partitionBy("_range").orderBy(*order)
-    rows = docs.withColumn("_r", coarse).withColumn("_range", F.col("_r.i") * F.lit(parts + 1).cast("long") + fine).drop("_r")
-    rows = rows.withColumn("_next", F.lead(F.struct(*columns)).over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
-    firsts = rows.where("_first").select(F.col("_range").alias("_to"), F.struct(*columns).alias("_found"))
-    ranges = rows.where("_first").select("_range")
+    ranged = lambda df: df.withColumn("_r", coarse).withColumn("_range", F.col("_r.i") * F.lit(parts + 1).cast("long") + fine).drop("_r")
+    inside = Window.partitionBy("_range").orderBy(at.desc(), F.col("text"))
+    rows = ranged(derive(docs)).withColumn("_next", F.lead(F.struct(*columns)).over(inside))
+    tops = ranged(docs.select("doc_id")).groupBy("_range").agg(F.max(at).alias("_top"))
     every = Window.partitionBy(F.lit(1))
-    following = ranges.select("_range", F.coalesce(F.lead("_range").over(Window.orderBy(F.desc("_range"))), F.max("_range").over(every)).alias("_to"))
-    jumps = following.join(firsts, "_to").select("_range", "_found")
-    lasts = rows.where("_next is null").join(jumps, "_range").withColumn("_next", F.col("_found")).drop("_found")
+    downward = Window.orderBy(F.desc("_range"))
+    following = tops.select("_range", F.coalesce(F.lead("_top").over(downward), F.max("_top").over(every)).alias("_to_top"))
+    firsts = docs.join(following, at == F.col("_to_top")).groupBy("_range").agg(F.min("text").alias("text"))
+    firsts = derive(firsts.withColumn("doc_id", F.lit(None).cast("long"))).select(F.col("_range").alias("_from"), F.struct(*columns).alias("_first"))
+    lasts = rows.where("_next is null").join(firsts, F.col("_range") == F.col("_from")).withColumn("_next", F.col("_first")).drop("_first", "_from")
     out = rows.where("_next is not null").unionByName(lasts)
-    return out.select(*docs.columns, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in columns))
+    kept = [c for c in out.columns if c not in ("_range", "_next")]
+    return out.select(*kept, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in columns))
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("entries", order_minhash(F.col("text")))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    paired = with_next(docs, "text", "entries").withColumn("edited", F.concat(F.substring("text", 1, n - half), F.substring("next_text", F.lit(1), half)))
+    paired = with_next(docs, lambda d: d.withColumn("entries", order_minhash(F.col("text"))), "text", "entries").withColumn("edited", F.concat(F.substring("text", 1, n - half), F.substring("next_text", F.lit(1), half)))
     paired = paired.withColumn("edited_entries", order_minhash(F.col("edited")))
     return paired.select(
         "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("entries")).alias("fingerprint"), as_text(F.col("edited_entries")).alias("edited_fingerprint"),
