@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, fingerprints, jaccard, mixing, neardup, packing, secrets, tokencounts, toxicity
+from tessera.llm import chat, fingerprints, jaccard, mixing, neardup, packing, secrets, surrogates, tokencounts, toxicity
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -18,6 +18,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         chat.op4_chat_formatting,
         mixing.op6_mixing,
         fingerprints.op7_fingerprints,
+        surrogates.op8_pii_surrogates,
         packing.op9_best_fit_packing,
         neardup.op10_embedding_neardup,
     )
