@@ -266,5 +266,15 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataF
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each_group(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` but those that links lead to a smaller doc_id, and but repeated rows.
+
+    Rows without a doc_id can't be told apart by one; they stay unless they repeat.
+    """
+    groups = jaccard_components(docs, width, num, den)
+    dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
+    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti").dropDuplicates(["doc_id", "text"])
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import staged, table, unit_hash
+from tessera.llm.common import clash_free, staged, table, unit_hash
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -159,6 +159,33 @@ def mix(sized: DataFrame, targets: DataFrame, shards: int, block_words: int = BL
     return ranked.select("doc_id", "source", "size", "copy", "epoch", "block", "start", "words", "shard", "place")
 
 
+def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` as the mix takes them: a row for each pass in which a document is taken, with its text.
+
+    A document taken whole keeps its text; of one taken in part, the words of the
+    blocks taken stand in order, a space between.  ``n_chars`` follows the text.
+    """
+    doc, source, size, copy = clash_free(docs, "_doc", "_source", "_size", "_copy")
+    sized = staged(sized_documents(docs), "sized")
+    targets = staged(source_targets(sized, block_words=block_words), "targets")
+    words = targets.agg(F.sum("source_size")).first()[0] or 0
+    drawn = mix(sized, targets, shards_for(words), block_words)
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))]
+    passes = drawn.groupBy("doc_id", "source", "size", "copy", "epoch").agg(F.sort_array(F.collect_list(F.struct("start", "words"))).alias("blocks"), F.sum("words").alias("taken"))
+    taken = passes.select(key[0].alias("_d"), key[1].alias("_s"), F.col("size").alias("_z"), F.struct("copy", "taken", "blocks").alias("one")).groupBy("_d", "_s", "_z").agg(F.collect_list("one").alias("_passes"))
+    named = docs.withColumn(doc, key[0]).withColumn(source, key[1]).withColumn(size, n_words(F.col("text")))
+    named = named.withColumn(copy, F.row_number().over(Window.partitionBy(doc, source, size).orderBy(size)))
+    joined = named.join(taken, (F.col(doc) == F.col("_d")) & (F.col(source) == F.col("_s")) & (F.col(size) == F.col("_z")))
+    rows = joined.withColumn("_pass", F.explode(F.filter("_passes", lambda p: p["copy"] == F.col(copy))))
+    every = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    part = F.array_join(F.flatten(F.transform("_pass.blocks", lambda b: F.slice(every, b["start"].cast("int") + 1, b["words"].cast("int")))), " ")
+    text = F.when(F.col("_pass.taken") == F.col(size), F.col("text")).otherwise(part)
+    rows = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
+
+
 def shards_for(words: int, least: int = 64, shard_words: int = 1 << 24) -> int:
     n = max(least, -(-words // shard_words))
     return 1 << (n - 1).bit_length()

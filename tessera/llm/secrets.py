@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import staged, table
+from tessera.llm.common import clash_free, staged, table
 
 # The strong kinds, in order, with the group whose length counts.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -139,6 +139,30 @@ def mask(text: Column, spans: Column, sign: str = "[{}]") -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(F.sort_array(spans), start, step, rest)).otherwise(text)
 
 
+def redact(docs: DataFrame, reach: int = REACH) -> DataFrame:
+    """``docs`` with every strong and every linked weak span of ``text`` replaced by its kind's sign.
+
+    Texts without a weak part are done in place; only others, which are few, are
+    written aside for the join.  A null text stays null.
+    """
+    strong, weak = clash_free(docs, "_strong", "_weak")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    none = F.array().cast(_SPAN)
+    found = docs.withColumn(strong, F.sort_array(strong_spans(text)))
+    may = F.concat(*(F.when(F.size(_of(strong, needs)) > 0, matches(text, kind, pattern)).otherwise(none) for kind, pattern, needs in WEAK))
+    found = found.withColumn(weak, F.when(F.size(strong) > 0, may).otherwise(none))
+    done = found.where(F.size(weak) == 0).withColumn("text", mask(F.col("text"), F.col(strong))).select(*docs.columns)
+    rest = staged(found.where(F.size(weak) > 0), "weak")
+    parts = rest.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col(weak).alias("weak"),
+        F.transform(strong, lambda s: _scope(F.col("text"), s, reach)).alias("scopes"),
+    )
+    added = link_parts(parts, reach).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.col("added").alias("_added"))
+    on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) == F.col("_d")) & (F.xxhash64("text") == F.col("_t"))
+    linked = rest.join(added, on, "left").withColumn("text", mask(F.col("text"), F.concat(F.col(strong), F.coalesce("_added", none))))
+    return done.unionByName(linked.select(*docs.columns))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"))
     counts = [F.size(_of("strong", (k,))).cast("long").alias(f"n_{k}") for k, *_ in STRONG]

@@ -190,15 +190,17 @@ def score(docs: DataFrame, model: FactorizationMachine | None, *carried: str) ->
     """``carried`` columns and ``score`` for every row; a null text counts as empty.  Without a model, 0."""
     if model is None:
         return docs.select(*carried, F.lit(0.0).alias("score"))
-    schema = T.StructType([*docs.select(*carried).schema.fields, T.StructField("score", T.DoubleType())])
+    kept = docs.select(*carried)
+    schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])
+    sent = kept if "text" in carried else docs.select(*carried, "text")
+    at = sent.columns.index("text")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            values = [model.score(terms) for _, terms in document_terms(texts, model.slots)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.float64())], names=schema.names)
+            values = [model.score(terms) for _, terms in document_terms(batch.column(at).to_pylist(), model.slots)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(values, pa.float64())], names=schema.names)
 
-    return docs.select(*carried, F.col("text").cast("string").alias("_text_to_score")).mapInArrow(scored, schema)
+    return sent.mapInArrow(scored, schema)
 
 
 def held_out(doc_id: Column) -> Column:
