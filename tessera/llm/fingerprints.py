@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import staged, table
 
 #: Scripts written without spaces, whose characters are tokens one by one.
 UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
@@ -109,17 +109,18 @@ def with_next(docs: DataFrame, derive: Callable[[DataFrame], DataFrame], *column
     fine = F.when(F.col("_r.i") == 0, 0).otherwise(F.floor((at.cast("double") - F.col("_r.lo")) / (F.col("_r.hi") - F.col("_r.lo")) * parts))
     ranged = lambda df: df.withColumn("_r", coarse).withColumn("_range", F.col("_r.i") * F.lit(parts + 1).cast("long") + fine).drop("_r")
     inside = Window.partitionBy("_range").orderBy(at.desc(), F.col("text"))
-    rows = ranged(derive(docs)).withColumn("_next", F.lead(F.struct(*columns)).over(inside))
+    # one lead for each column: a struct would be built, and its text moved twice, before the shuffle
+    rows = ranged(derive(docs)).select("*", *(F.lead(c).over(inside).alias(f"next_{c}") for c in columns), F.lead(F.lit(True)).over(inside).alias("_inside"))
     tops = ranged(docs.select("doc_id")).groupBy("_range").agg(F.max(at).alias("_top"))
     every = Window.partitionBy(F.lit(1))
     downward = Window.orderBy(F.desc("_range"))
-    following = tops.select("_range", F.coalesce(F.lead("_top").over(downward), F.max("_top").over(every)).alias("_to_top"))
+    following = staged(tops.select("_range", F.coalesce(F.lead("_top").over(downward), F.max("_top").over(every)).alias("_to_top")), "ranges")
     firsts = docs.join(following, at == F.col("_to_top")).groupBy("_range").agg(F.min("text").alias("text"))
-    firsts = derive(firsts.withColumn("doc_id", F.lit(None).cast("long"))).select(F.col("_range").alias("_from"), F.struct(*columns).alias("_first"))
-    lasts = rows.where("_next is null").join(firsts, F.col("_range") == F.col("_from")).withColumn("_next", F.col("_first")).drop("_first", "_from")
-    out = rows.where("_next is not null").unionByName(lasts)
-    kept = [c for c in out.columns if c not in ("_range", "_next")]
-    return out.select(*kept, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in columns))
+    firsts = derive(firsts.withColumn("doc_id", F.lit(None).cast("long"))).select(F.col("_range").alias("_from"), *(F.col(c).alias(f"_first_{c}") for c in columns))
+    lasts = rows.where("_inside is null").join(firsts, F.col("_range") == F.col("_from"))
+    kept = [c for c in rows.columns if c not in ("_range", "_inside", *(f"next_{c}" for c in columns))]
+    lasts = lasts.select(*kept, *(F.col(f"_first_{c}").alias(f"next_{c}") for c in columns))
+    return rows.where("_inside").select(*kept, *(f"next_{c}" for c in columns)).unionByName(lasts)
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
