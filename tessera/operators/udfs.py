@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -63,14 +64,17 @@ def proto_udf(function: Callable, returns: Kind, *arguments: Kind, options: Sche
     """
     if not 1 <= len(arguments) <= _MOST:
         raise ValueError(f"one to {_MOST} arguments, not {len(arguments)}")
-    readers = [_to_python(k) for k in arguments]
-    kind, write = _from_python(returns)
 
-    def call(*columns: pa.Array) -> pa.Array:
-        rows = zip(*(read(c) for read, c in zip(readers, columns, strict=True)), strict=True)
-        return write([function(*row) for row in rows])
+    @lru_cache(maxsize=1)
+    def made() -> Callable[..., Column]:  # types written as text need a session to be read
+        readers = [_to_python(k) for k in arguments]
+        kind, write = _from_python(returns)
 
-    udf = F.arrow_udf(call, kind)
+        def call(*columns: pa.Array) -> pa.Array:
+            rows = zip(*(read(c) for read, c in zip(readers, columns, strict=True)), strict=True)
+            return write([function(*row) for row in rows])
+
+        return F.arrow_udf(call, kind)
 
     def factory(*columns: Column | str) -> Column:
         if len(columns) != len(arguments):
@@ -85,7 +89,7 @@ def proto_udf(function: Callable, returns: Kind, *arguments: Kind, options: Sche
             else:
                 c = c.cast(_native(k))
             given.append(c)
-        out = udf(*given)
+        out = made()(*given)
         if isinstance(returns, MessageType):
             return message_to_public(out, returns.descriptor, options)
         return enum_to_name(out, returns.descriptor) if isinstance(returns, EnumType) else out
