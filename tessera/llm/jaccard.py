@@ -1,10 +1,13 @@
 """Exact Jaccard join on word n-grams: T-occurrence search with DivideSkip.
 
-Equal sets are one class.  Of two sets that reach the threshold, one at least of a
-fixed number of parts (shingles dealt by their hash) is the same in both, so classes
-that share a part are brought together.  Among those, inverted lists are searched:
-a query's short lists are merged, its long ones probed by binary search, and
-classes that reach the required overlap are linked.
+Equal sets are one class.  The search goes twice over inverted lists.  First, across
+the cluster, every class lists a prefix of its shingles in the order of their hashes,
+long enough that two linked classes share several of them; classes whose prefix is
+shared too little are out, and of the others only the shortest lists are kept, the
+longest being skipped as far as the required overlap allows.  Classes that meet in a
+list form clusters.  Then, within blocks of a cluster, a query's short lists are
+merged, its long ones probed by binary search, and classes that reach the required
+overlap are linked.
 """
 
 from __future__ import annotations
@@ -17,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shuffle_width, staged, table
+from tessera.llm.common import release, shuffle_width, staged, table
 from tessera.llm.components import Forest, connected_components
 from tessera.llm.shingles import mix, sets, signature
 
 #: Part keys that a task of the second step reads, about, and classes of a search block.
-KEYS_PER_TASK = 400_000
+KEYS_PER_TASK = 300_000
 BLOCK_CLASSES = 128
 BLOCK_SHINGLES = 400_000
 _U = np.uint64
@@ -37,37 +40,21 @@ class Threshold:
         if not 0 < num <= den:
             raise ValueError("the threshold must lie in (0, 1]")
         self.num, self.den = num, den
-        self.bounds = [1]  # bucket b holds sizes bounds[b] .. bounds[b + 1] - 1; partners lie in the same or the next
-        while self.bounds[-1] < 1 << 40:
-            self.bounds.append(self.bounds[-1] * den // num + 1)
-        self.edges = np.array(self.bounds)
 
     def linked(self, overlap: int, n: int, m: int) -> bool:
         return self.den * overlap >= self.num * (n + m - overlap)
 
-    def least_overlap(self, n: int) -> int:
+    def least_overlap(self, n):
+        """What a set of n shingles shares with any that it links with, and the least size of such."""
         return -(-self.num * n // self.den)
 
-    def parts(self, group: int) -> int:
-        """Parts of which two linked sets of buckets group, group or group, group + 1 share two at least."""
-        most = (self.bounds[group + 1] - 1) + (self.bounds[group + 2] - 1)
-        return most * (self.den - self.num) // (self.den + self.num) + 2
+    def shared(self, n):
+        """Shingles that the prefixes of two linked sets share at least, where n is the smaller size."""
+        return 1 + (n - self.least_overlap(n)) // 2
 
-    def keys(self, s: np.ndarray, bucket: int) -> np.ndarray:
-        """The part keys of a set.  An empty part counts only for a set that has two or more of them in a group."""
-        out = []
-        for group in (bucket - 1, bucket):
-            if group < 0:
-                continue
-            n = self.parts(group)
-            part = ((s >> _U(32)) * _U(n) >> _U(32)).astype(np.int64)  # of sorted hashes, so parts are runs
-            sums = np.concatenate((np.zeros(1, _U), np.cumsum(mix(s))))
-            cuts = np.searchsorted(part, np.arange(n + 1))
-            own = sums[cuts[1:]] - sums[cuts[:-1]]
-            full = cuts[1:] > cuts[:-1]
-            named = mix(own ^ mix(np.arange(n, dtype=_U) + _U(group << 40)))
-            out.append(named if n - full.sum() > 1 else named[full])
-        return np.concatenate(out)
+    def prefix(self, n):
+        """With o shared shingles, the first k of these are among the first n - o + k of either set."""
+        return n - self.least_overlap(n) + self.shared(n)
 
 
 def shingle_classes(docs: DataFrame, width: int) -> DataFrame:
@@ -81,21 +68,49 @@ def shingle_classes(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(classes, "doc_id long, n_shingles long, sig long")
 
 
+# Rows on their way: a key's lowest 48 bits (the task has the highest), a class's lowest 40, its size.
+LISTED = np.dtype([("lo", "<u4"), ("hi", "<u2"), ("id_lo", "<u4"), ("id_hi", "u1"), ("n", "<u4")])
+SHARED = np.dtype([("key", "<u8"), ("id", "<i8"), ("n", "<u4"), ("df", "<u4")])
+KEPT = np.dtype([("key", "<u8"), ("id", "<i8"), ("n", "<u4")])
+ID_BITS = 40
+
+
+def _dealt(task: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    """Rows as one blob for each task."""
+    order = np.argsort(task, kind="stable")
+    task, rows = task[order], rows[order]
+    there, first = np.unique(task, return_index=True)
+    cuts = [*first.tolist(), len(rows)]
+    blobs = [rows[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int64)), pa.array(blobs, pa.binary())], names=["task", "rows"])
+
+
+def _gathered(group: pa.Table, kind: np.dtype) -> np.ndarray:
+    return np.concatenate([np.frombuffer(b, dtype=kind) for b in group.column("rows").to_pylist()])
+
+
+def _top(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), dtype=np.int64)
+
+
 def _candidate_edges(docs: DataFrame, width: int, t: Threshold, tasks: int) -> DataFrame:
-    """(a, b): classes that share a part and whose sizes allow a link, as chains by size."""
+    """(a, b): ids of classes that meet in a kept list and whose sizes allow a link, as chains by size."""
     bits = (tasks - 1).bit_length()
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        held, size = [], 0
+        keys: list[np.ndarray] = []
+        ids: list[tuple[int, int, int]] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            rows = np.concatenate(held)
-            rows = rows[np.argsort(rows["key"])]
-            cuts = np.searchsorted(rows["key"] >> _U(64 - bits) if bits else np.zeros(len(rows), _U), np.arange((1 << bits) + 1).astype(_U))
-            there = np.flatnonzero(cuts[1:] > cuts[:-1])
-            blobs = [rows[cuts[i] : cuts[i + 1]].tobytes() for i in there]
-            return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int64)), pa.array(blobs, pa.binary())], names=["task", "rows"])
+            key = np.concatenate(keys)
+            each = np.array(ids, dtype=np.int64)
+            who, n = np.repeat(each[:, 0], each[:, 2]), np.repeat(each[:, 1], each[:, 2])
+            rows = np.empty(len(key), dtype=LISTED)
+            rows["lo"], rows["hi"] = key & _U(0xFFFFFFFF), (key >> _U(32)) & _U(0xFFFF)
+            rows["id_lo"], rows["id_hi"], rows["n"] = who & 0xFFFFFFFF, who >> 32, n
+            return _dealt(_top(key, bits), rows)
 
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
@@ -104,25 +119,53 @@ def _candidate_edges(docs: DataFrame, width: int, t: Threshold, tasks: int) -> D
                     if not len(s) or sig in seen:
                         continue
                     seen.add(sig)
-                    keys = t.keys(s, int(np.searchsorted(t.edges, len(s), side="right")) - 1)
-                    rows = np.empty(len(keys), dtype=ROW)
-                    rows["key"], rows["sig"], rows["n"] = keys, sig, len(s)
-                    held.append(rows)
-                    size += len(rows)
+                    keys.append(mix(s[: t.prefix(len(s))]))
+                    ids.append((sig & ((1 << ID_BITS) - 1), len(s), len(keys[-1])))
+                    size += len(keys[-1])
                     if size > _FLUSH:
                         yield flush()
-                        held, size = [], 0
+                        keys, ids, size = [], [], 0
             if len(seen) > 2_000_000:
                 seen = set()
-        if held:
+        if keys:
             yield flush()
 
+    def shared(group: pa.Table) -> pa.Table:
+        """Lists of two classes or more, dealt out by class."""
+        packed = _gathered(group, LISTED)
+        high = _U(group.column("task")[0].as_py() << (64 - bits)) if bits else _U(0)
+        rows = np.empty(len(packed), dtype=SHARED)
+        rows["key"] = high | ((packed["hi"].astype(_U) << _U(32) | packed["lo"]) & _U((1 << (64 - bits)) - 1))
+        rows["id"], rows["n"] = packed["id_hi"].astype(np.int64) << 32 | packed["id_lo"], packed["n"]
+        rows = rows[np.lexsort((rows["id"], rows["key"]))]
+        same_key = rows["key"][1:] == rows["key"][:-1]
+        rows = rows[np.concatenate(([True], ~(same_key & (rows["id"][1:] == rows["id"][:-1]))))]
+        first = np.flatnonzero(np.concatenate(([True], rows["key"][1:] != rows["key"][:-1])))
+        length = np.diff(np.append(first, len(rows)))
+        rows["df"] = np.repeat(length, length)
+        rows = rows[rows["df"] > 1]
+        return _table(_dealt(_top(mix(rows["id"].astype(_U)), bits), rows))
+
+    def rarest(group: pa.Table) -> pa.Table:
+        """Of a class's lists, the shortest: all but as many as linked classes share beyond one."""
+        rows = _gathered(group, SHARED)
+        rows = rows[np.lexsort((rows["key"], rows["df"], rows["id"]))]
+        first = np.flatnonzero(np.concatenate(([True], rows["id"][1:] != rows["id"][:-1])))
+        length = np.diff(np.append(first, len(rows)))
+        place = np.arange(len(rows)) - np.repeat(first, length)
+        need = t.shared(t.least_overlap(rows["n"].astype(np.int64)))
+        kept = rows[place <= np.repeat(length, length) - need]
+        out = np.empty(len(kept), dtype=KEPT)
+        for name in KEPT.names:
+            out[name] = kept[name]
+        return _table(_dealt(_top(out["key"], bits), out))
+
     def chained(group: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(b, dtype=ROW) for b in group.column("rows").to_pylist()])
-        rows = rows[np.lexsort((rows["sig"], rows["n"], rows["key"]))]
+        rows = _gathered(group, KEPT)
+        rows = rows[np.lexsort((rows["id"], rows["n"], rows["key"]))]
         a, b = rows[:-1], rows[1:]
-        joined = (a["key"] == b["key"]) & (a["sig"] != b["sig"]) & (t.den * a["n"].astype(np.int64) >= t.num * b["n"].astype(np.int64))
-        pairs = np.unique(np.stack((a["sig"][joined], b["sig"][joined]), axis=1), axis=0)
+        joined = (a["key"] == b["key"]) & (a["id"] != b["id"]) & (t.den * a["n"].astype(np.int64) >= t.num * b["n"].astype(np.int64))
+        pairs = np.unique(np.stack((a["id"][joined], b["id"][joined]), axis=1), axis=0)
         ids, ends = np.unique(pairs, return_inverse=True)
         forest = Forest(len(ids))
         for i, j in ends.reshape(-1, 2).tolist():
@@ -131,10 +174,14 @@ def _candidate_edges(docs: DataFrame, width: int, t: Threshold, tasks: int) -> D
         return pa.table({"a": pa.array(ids[roots] if len(ids) else ids), "b": pa.array(ids)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(keyed, "task long, rows binary").groupBy("task").applyInArrow(chained, "a long, b long")
+    blobs = "task long, rows binary"
+    for step in (shared, rarest):
+        texts = (texts.mapInArrow(listed, blobs) if step is shared else texts).groupBy("task").applyInArrow(step, blobs)
+    return texts.groupBy("task").applyInArrow(chained, "a long, b long")
 
 
-ROW = np.dtype([("key", "<u8"), ("sig", "<i8"), ("n", "<u4")])
+def _table(batch: pa.RecordBatch) -> pa.Table:
+    return pa.Table.from_batches([batch])
 
 
 def divide_skip(query: np.ndarray, lists: list[np.ndarray], indexed: list[np.ndarray], t: Threshold, skip) -> Iterator[tuple[int, int]]:
@@ -238,12 +285,12 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataF
     spark = docs.sparkSession
     classes = staged(shingle_classes(docs, width), "classes")
     total = classes.where("n_shingles > 0").agg(F.sum("n_shingles")).first()[0] or 0
-    share = 2 * 2 * (den - num) / (den + num)
-    tasks = max(shuffle_width(spark), int(total * share / KEYS_PER_TASK))
-    candidates = _candidate_edges(docs, width, t, tasks)
-    clusters = staged(connected_components(candidates), "clusters")
+    tasks = max(shuffle_width(spark), int(total * 1.5 * (den - num) / den / KEYS_PER_TASK))
+    clusters = staged(connected_components(_candidate_edges(docs, width, t, tasks)), "clusters")
+    release(spark)
     firsts = classes.where("n_shingles > 0").groupBy("sig").agg(F.min(F.struct("doc_id", "n_shingles")).alias("_f"))
-    wanted = firsts.join(clusters, F.col("sig") == F.col("node")).select(F.col("_f.doc_id").alias("_doc"), "sig", F.col("root").alias("cluster"))
+    of = F.col("sig").bitwiseAND((1 << ID_BITS) - 1)
+    wanted = firsts.join(clusters, of == F.col("node")).select(F.col("_f.doc_id").alias("_doc"), "sig", F.col("root").alias("cluster"))
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,6 +304,7 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataF
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text"))
     members = texts.join(wanted, "_doc").select("sig", "cluster", "text").mapInArrow(with_sets, "sig long, cluster long, n_shingles long, set binary")
     members = staged(members.dropDuplicates(["sig"]), "members")
+    release(spark)
     roots = connected_components(_verified_edges(members, t))
     labelled = firsts.select("sig", F.col("_f.doc_id").alias("_first")).join(roots.withColumnRenamed("node", "sig"), "sig", "left")
     labelled = staged(labelled.select("sig", "_first", F.coalesce("root", "sig").alias("root")), "labelled")
