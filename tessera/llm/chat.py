@@ -56,8 +56,9 @@ def branch_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
     jumps, open_ends = [jump], -1
     while (still := jump.where("up is not null").count()) and still != open_ends:  # each doubling closes some path; only cycles stay
         far = jump.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("score").alias("_s"), F.col("length").alias("_l"))
-        doubled = jump.join(far, (F.col("tree") == F.col("_t")) & (F.col("up") == F.col("_n")), "left")
-        jump = staged(doubled.select("tree", "node", F.col("_up").alias("up"), (F.col("score") + F.coalesce("_s", F.lit(0.0))).alias("score"), (F.col("length") + F.coalesce("_l", F.lit(0))).alias("length")), "jump")
+        moving = jump.where("up is not null").join(far, (F.col("tree") == F.col("_t")) & (F.col("up") == F.col("_n")))
+        moved = moving.select("tree", "node", F.col("_up").alias("up"), (F.col("score") + F.col("_s")).alias("score"), (F.col("length") + F.col("_l")).alias("length"))
+        jump = staged(jump.where("up is null").unionByName(moved), "jump")
         jumps.append(jump)
         open_ends = still
     order = Window.partitionBy("tree").orderBy(F.desc("score"), "node")
