@@ -91,7 +91,7 @@ def proto_udf(function: Callable, returns: Kind, *arguments: Kind, options: Sche
             given.append(c)
         out = made()(*given)
         if isinstance(returns, MessageType):
-            return message_to_public(out, returns.descriptor, options)
-        return enum_to_name(out, returns.descriptor) if isinstance(returns, EnumType) else out
+            return message_to_public(out, returns.descriptor, options).alias("message")
+        return (enum_to_name(out, returns.descriptor) if isinstance(returns, EnumType) else out).alias("value")
 
     return factory

@@ -167,7 +167,8 @@ def from_proto(data: Column, message: MessageType, options: SchemaOptions = DEFA
     """
     if fields is not None and (unknown := set(fields) - set(message.descriptor.fields_by_name)):
         raise ValueError(f"{message.full_name} has no field {', '.join(sorted(unknown))}")
-    return message_to_public(raw_from_bytes(data, message, fields), message.descriptor, options, fields)
+    # named, as Spark can't make up a name for every expression with lambdas inside
+    return message_to_public(raw_from_bytes(data, message, fields), message.descriptor, options, fields).alias("message")
 
 
 def to_proto(column: Column, message: MessageType, options: SchemaOptions = DEFAULT) -> Column:
@@ -175,4 +176,4 @@ def to_proto(column: Column, message: MessageType, options: SchemaOptions = DEFA
 
     A null required field, or a null in an array, fails the query.
     """
-    return bytes_from_raw(message_to_raw(column, message.descriptor, options), message)
+    return bytes_from_raw(message_to_raw(column, message.descriptor, options), message).alias("value")

@@ -146,11 +146,11 @@ def repeated_items_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.explode("items").alias("i")).groupBy("i.l_returnflag").agg(F.count("*").alias("n"), F.sum("i.l_partkey").alias("parts"))
 
 
-@query("SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, round(list_sum([CAST(x AS DOUBLE) for x in embedding]), 3) AS total FROM embeddings")
+@query("SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, CAST(list_sum([floor(CAST(x AS DOUBLE) * 1000) for x in embedding]) AS BIGINT) AS total FROM embeddings")
 def repeated_scalar_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = default.decode(embedding_bytes(spark, sf_dir), SHOP.message("shop.Embedding"), fields=("vec_id", "embedding"))
-    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return read.select("vec_id", F.size("embedding").alias("n"), F.round(total, 3).alias("total"))
+    total = F.aggregate("embedding", F.lit(0).cast("long"), lambda s, x: s + F.floor(x.cast("double") * 1000))
+    return read.select("vec_id", F.size("embedding").alias("n"), total.alias("total"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
