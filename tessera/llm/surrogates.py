@@ -48,7 +48,7 @@ KINDS = {
     "name": re.compile(rf"(?<!\w)({_TITLE})(\.?[ \t]+)({_NAME}(?:[ \t]+{_NAME}){{0,2}})"),
 }
 #: Holds for every text in which a mention can be found.
-MAY_HOLD = "[@0-9]|" + _TITLE
+MAY_HOLD = f"[@0-9]|(?=[{''.join(sorted({t[0] for t in _TITLE.split('|')}))}])(?:{_TITLE})"  # one look at a letter rules most places out
 
 _MENTION = "array<struct<start:int,end:int,kind:string,entity:string>>"
 
