@@ -30,7 +30,7 @@ BLOCK_CLASSES = 128
 BLOCK_SHINGLES = 400_000
 _U = np.uint64
 _MERGED = 256
-_FLUSH = 600_000
+_FLUSH = 300_000
 
 
 class Threshold:
@@ -61,7 +61,8 @@ def shingle_classes(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, sig (the hash of the set; 0 for an empty one), for every row."""
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole, k in ((b, k) for b in batches for k in range(0, b.num_rows, 500)):
+            batch = whole.slice(k, 500)
             found = sets(batch.column(1).cast(pa.binary()).to_pylist(), width)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([signature(s) for s in found], pa.int64())], names=["doc_id", "n_shingles", "sig"])
 

@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, 1 << HASH_BITS), dtype=np.int64)
         total = np.zeros(2, dtype=np.int64)
-        for batch in batches:
+        for batch in _slices(batches):
             y = batch.column(0).to_numpy()
             total += np.bincount(y, minlength=2)
             for i, found in document_terms(batch.column(1).to_pylist()):
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int
     slots[[r["term"] for r in best]] = np.arange(len(best))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             found = [t for _, t in document_terms(batch.column(1).to_pylist(), slots)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["y", "terms"])
 
@@ -179,6 +179,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int
     return FactorizationMachine(slots, *train(x[order], y[order]))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def _chunks(column: pa.ChunkedArray) -> Iterator[tuple[int, pa.ListArray]]:
     at = 0
     for chunk in column.chunks:
@@ -196,7 +202,7 @@ def score(docs: DataFrame, model: FactorizationMachine | None, *carried: str) ->
     at = sent.columns.index("text")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             values = [model.score(terms) for _, terms in document_terms(batch.column(at).to_pylist(), model.slots)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(values, pa.float64())], names=schema.names)
 

@@ -13,8 +13,8 @@ import unicodedata
 
 import numpy as np
 
-#: Bytes of words and ids that a worker keeps before it starts its cache anew.
-CACHE_BYTES = 300_000_000
+#: Bytes of words and ids in each of the two generations that a worker keeps.
+CACHE_BYTES = 70_000_000
 _ENTRY = 150  # of a dict entry and two bytes objects, roughly
 
 # Words of code points below _PLAIN, but for the excepted ones, fall into runs by a
@@ -48,13 +48,15 @@ class WordIds:
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
-        self._forget()
-
-    def _forget(self) -> None:
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.runs: dict[bytes, bytes] = {}
         self.held = 0
 
+    def _age(self) -> None:
+        """Start a new generation; words that occur again move up from the older one, others go with it."""
+        self.older, self.words, self.runs, self.held = self.words, {}, {}, 0
+
     @classmethod
     def of(cls, path: str) -> WordIds:
         if path not in _WORKERS:
@@ -104,7 +106,7 @@ class WordIds:
     def batch(self, texts: list[bytes]) -> list[bytes]:
         """For each text (UTF-8), its ids as little-endian unsigned 32-bit numbers."""
         if self.held > CACHE_BYTES:
-            self._forget()
+            self._age()
         gc.disable()  # nothing here is cyclic, and a collection would walk the whole cache
         try:
             return self._batch(texts)
@@ -117,6 +119,11 @@ class WordIds:
         found = [list(map(get, words)) for words in split]
         missing = {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
         if missing:
+            if self.older:
+                again = missing & self.older.keys()
+                self.words.update((w, self.older[w]) for w in again)
+                self.held += sum(_ENTRY + 6 * len(w) for w in again)
+                missing -= again
             self._learn(missing)
             for words, ids in zip(split, found, strict=True):
                 if None in ids:
