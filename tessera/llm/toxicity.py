@@ -57,7 +57,11 @@ def document_terms(texts: list[str | None], keep: np.ndarray | None = None) -> I
         if not group:
             return
         h = _term_hashes(b"".join(group) + b"    ")
-        owner = np.repeat(np.arange(len(group), dtype=np.int64), [len(g) for g in group])
+        sizes = np.array([len(g) for g in group])
+        owner = np.repeat(np.arange(len(group), dtype=np.int64), sizes)
+        inside = np.ones(len(h), dtype=bool)  # not those that reach into the next text
+        inside[(np.cumsum(sizes)[:, None] - np.arange(1, 5)).reshape(-1)] = False
+        h, owner = h[inside], owner[inside]
         if keep is not None:
             h = keep[h]
             there = np.flatnonzero(h >= 0)
@@ -175,7 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int
     for chunk_at, chunk in _chunks(got.column("terms")):
         owner = np.repeat(np.arange(len(chunk)) + chunk_at, np.diff(chunk.offsets.to_numpy()))
         x[owner, chunk.flatten().to_numpy()] = 1
-    order = np.lexsort((*x.T[:64], x.sum(axis=1), y))  # rows come in any order; sums should not
+    signs = np.packbits(x, axis=1)
+    order = sorted(range(len(y)), key=lambda i: (y[i], signs[i].tobytes()))  # rows come in any order, and sums depend on it
     return FactorizationMachine(slots, *train(x[order], y[order]))
 
 
