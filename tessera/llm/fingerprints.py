@@ -117,10 +117,10 @@ def with_next(docs: DataFrame, derive: Callable[[DataFrame], DataFrame], *column
     following = staged(tops.select("_range", F.coalesce(F.lead("_top").over(downward), F.max("_top").over(every)).alias("_to_top")), "ranges")
     firsts = docs.join(following, at == F.col("_to_top")).groupBy("_range").agg(F.min("text").alias("text"))
     firsts = derive(firsts.withColumn("doc_id", F.lit(None).cast("long"))).select(F.col("_range").alias("_from"), *(F.col(c).alias(f"_first_{c}") for c in columns))
-    lasts = rows.where("_inside is null").join(firsts, F.col("_range") == F.col("_from"))
+    # rows lie by _range already, so they stay where they are, and each range has one first
+    joined = rows.join(firsts, F.col("_range") == F.col("_from"), "left")
     kept = [c for c in rows.columns if c not in ("_range", "_inside", *(f"next_{c}" for c in columns))]
-    lasts = lasts.select(*kept, *(F.col(f"_first_{c}").alias(f"next_{c}") for c in columns))
-    return rows.where("_inside").select(*kept, *(f"next_{c}" for c in columns)).unionByName(lasts)
+    return joined.select(*kept, *(F.when(F.col("_inside"), F.col(f"next_{c}")).otherwise(F.col(f"_first_{c}")).alias(f"next_{c}") for c in columns))
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
