@@ -40,6 +40,8 @@ class Threshold:
         if not 0 < num <= den:
             raise ValueError("the threshold must lie in (0, 1]")
         self.num, self.den = num, den
+        spare = 100 * (den - num) // den  # per cent of a set that a linked one may lack
+        self.extra = max(spare // 2, 30 - spare)  # prefixes of 30 % do, and of half as much again as may lack
 
     def linked(self, overlap: int, n: int, m: int) -> bool:
         return self.den * overlap >= self.num * (n + m - overlap)
@@ -50,7 +52,7 @@ class Threshold:
 
     def shared(self, n):
         """Shingles that the prefixes of two linked sets share at least, where n is the smaller size."""
-        return 1 + (n - self.least_overlap(n)) // 2
+        return 1 + n * self.extra // 100
 
     def prefix(self, n):
         """With o shared shingles, the first k of these are among the first n - o + k of either set."""
