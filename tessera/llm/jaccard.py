@@ -41,7 +41,8 @@ class Threshold:
             raise ValueError("the threshold must lie in (0, 1]")
         self.num, self.den = num, den
         spare = 100 * (den - num) // den  # per cent of a set that a linked one may lack
-        self.extra = max(spare // 2, 30 - spare)  # prefixes of 30 % do, and of half as much again as may lack
+        # prefixes of 30 %, or of half as much again as may lack; linked sets must share that many
+        self.extra = max(0, min(max(spare // 2, 30 - spare), 100 * num // den - 1))
 
     def linked(self, overlap: int, n: int, m: int) -> bool:
         return self.den * overlap >= self.num * (n + m - overlap)
