@@ -242,16 +242,13 @@ def search_block(indexed: list[np.ndarray], queries: list[np.ndarray] | None, t:
 
 
 def _verified_edges(members: DataFrame, t: Threshold) -> DataFrame:
-    """(a, b): linked classes of ``members`` (cluster, sig, set), enough to connect all that are linked.
+    """(a, b): linked classes of ``members`` (cluster, blocks, sig, set), enough to connect all that are linked.
 
-    A cluster of many classes, or of long ones, is cut into blocks by hash, and
-    every pair of its blocks is searched in some task.
+    A cluster is cut into its number of blocks by hash, and every pair of its blocks
+    is searched in some task.
     """
-    per = members.groupBy("cluster").agg(F.count("*").alias("_m"), F.sum("n_shingles").alias("_s"))
-    blocks = F.greatest(F.ceil(F.col("_m") / F.greatest(F.lit(BLOCK_CLASSES), F.col("_m") / 24)), F.ceil(F.col("_s") / BLOCK_SHINGLES))
-    cut = members.join(per.select("cluster", blocks.cast("int").alias("_k")), "cluster")
-    cut = cut.withColumn("_i", F.pmod(F.xxhash64("sig"), F.col("_k")).cast("int"))
-    spread = cut.select("cluster", "sig", "set", "_i", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_j"))
+    cut = members.withColumn("_i", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    spread = cut.select("cluster", "sig", "set", "_i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_j"))
     spread = spread.select("cluster", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), (F.col("_i") > F.col("_j")).alias("query"), "sig", "set")
     tasks = 32 * shuffle_width(members.sparkSession)
     spread = spread.withColumn("task", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(tasks)))
@@ -294,19 +291,23 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataF
     release(spark)
     firsts = classes.where("n_shingles > 0").groupBy("sig").agg(F.min(F.struct("doc_id", "n_shingles")).alias("_f"))
     of = F.col("sig").bitwiseAND((1 << ID_BITS) - 1)
-    wanted = firsts.join(clusters, of == F.col("node")).select(F.col("_f.doc_id").alias("_doc"), "sig", F.col("root").alias("cluster"))
+    wanted = firsts.join(clusters, of == F.col("node")).select(F.col("_f.doc_id").alias("_doc"), "sig", F.col("root").alias("cluster"), "_f.n_shingles")
+    wanted = staged(wanted, "wanted")
+    per = wanted.groupBy("cluster").agg(F.count("*").alias("_m"), F.sum("n_shingles").alias("_s"))
+    blocks = F.greatest(F.ceil(F.col("_m") / F.greatest(F.lit(BLOCK_CLASSES), F.col("_m") / 24)), F.ceil(F.col("_s") / BLOCK_SHINGLES))
+    wanted = wanted.join(per.select("cluster", blocks.cast("int").alias("blocks")), "cluster")  # before there are sets to move
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                found = sets(part.column(2).cast(pa.binary()).to_pylist(), width)
+                found = sets(part.column(3).cast(pa.binary()).to_pylist(), width)
                 right = [i for i, (s, sig) in enumerate(zip(found, part.column(0).to_pylist(), strict=True)) if signature(s) == sig]
                 rows = part.take(pa.array(right, pa.int64()))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([len(found[i]) for i in right], pa.int64()), pa.array([found[i].tobytes() for i in right], pa.binary())], names=["sig", "cluster", "n_shingles", "set"])
+                yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array([found[i].tobytes() for i in right], pa.binary())], names=["sig", "cluster", "blocks", "set"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text"))
-    members = texts.join(wanted, "_doc").select("sig", "cluster", "text").mapInArrow(with_sets, "sig long, cluster long, n_shingles long, set binary")
+    members = texts.join(wanted, "_doc").select("sig", "cluster", "blocks", "text").mapInArrow(with_sets, "sig long, cluster long, blocks int, set binary")
     members = staged(members.dropDuplicates(["sig"]), "members")
     release(spark)
     roots = connected_components(_verified_edges(members, t))
