@@ -307,7 +307,8 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataF
                 yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array([found[i].tobytes() for i in right], pa.binary())], names=["sig", "cluster", "blocks", "set"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text"))
-    members = texts.join(wanted, "_doc").select("sig", "cluster", "blocks", "text").mapInArrow(with_sets, "sig long, cluster long, blocks int, set binary")
+    # always a merge join: what is wanted grows with the documents, so that it is small tells little
+    members = texts.join(wanted.hint("merge"), "_doc").select("sig", "cluster", "blocks", "text").mapInArrow(with_sets, "sig long, cluster long, blocks int, set binary")
     members = staged(members.dropDuplicates(["sig"]), "members")
     release(spark)
     roots = connected_components(_verified_edges(members, t))
