@@ -1,9 +1,10 @@
 """Secret scans with multipart credential linking, in DataFrame and SQL functions.
 
 Three strong kinds of span are found in every text.  Weak kinds (a login name, an
-opaque token, an endpoint) are parts of a credential that mean little alone: an
-interval join with the scopes of strong parts reports a weak one only where a part
-that complements it stands in the same scope.
+opaque token, an endpoint, an assigned value or access id too short to be strong) are
+parts of a credential that mean little alone: an interval join with the scopes of all
+parts, strong or weak, reports a weak one only where a part that complements it stands
+in the same scope.
 """
 
 from __future__ import annotations
@@ -23,20 +24,30 @@ STRONG = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0,
 # A run that fails is dropped whole, so for kinds that are one run only the long ones need be looked for.
 LONG_RUNS = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
 
-#: Weak kinds: pattern, and the strong kinds of which one must be in scope.
+#: Schemes of endpoints end within 64 signs, as long runs of letters would else take the square of their length.
+#: Weak kinds: pattern, the kinds of which one must be in scope, and the group that must be shorter than so much.
 WEAK = (
-    ("login", r"""(?i:user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", ("assign", "hex")),
-    ("opaque", r"(?<![A-Za-z0-9+/_-])(?!AKIA)(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}", ("access",)),
-    ("endpoint", r"[A-Za-z][A-Za-z0-9+.-]*://[^\s\"'<>]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?(?![0-9.])", ("assign", "access")),
+    ("login", r"""(?i:user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", ("assign", "access", "hex", "opaque", "short_assign"), 0, 0),
+    ("opaque", r"(?<![A-Za-z0-9+/_-])(?!AKIA)(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}", ("access", "login", "endpoint", "short_access"), 0, 0),
+    ("endpoint", r"[A-Za-z][A-Za-z0-9+.-]{0,63}+://[^\s\"'<>]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?(?![0-9.])", ("assign", "access", "hex", "opaque", "short_assign"), 0, 0),
+    ("short_assign", ASSIGN, ("access", "login", "endpoint", "short_access"), 2, 12),
+    ("short_access", ACCESS, ("assign", "hex", "opaque", "short_assign"), 0, 18),
 )
+#: What a text with a match must hold, where that is found faster.
+SIGNS = {
+    "login": r"""[:=]\x20*["']?[A-Za-z0-9@._-]{3}""", "opaque": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20}",
+    "endpoint": r"://|[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]", "short_assign": r"""[:=]\x20*["']?[A-Za-z0-9+/_.=-]""",
+}
 ORDER = [k[0] for k in (*STRONG, *WEAK)]
-#: Code points before and after a strong part that its scope reaches, within its paragraph.
+#: Code points before and after a part that its scope reaches, within its paragraph; without a reach, the whole paragraph.
 REACH = 200
+#: Scopes that are whole paragraphs are cut into bins of so many code points.
+PARAGRAPH_BIN = 4096
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
-def matches(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0) -> Column:
+def matches(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0, below: int = 0) -> Column:
     """Leftmost non-overlapping matches as sorted structs (start, kind, end), in code points.
 
     What stands between matches comes from a split at the same pattern, so lengths
@@ -54,10 +65,10 @@ def matches(text: Column, kind: str, pattern: str, group: int = 0, least: int =
         return F.struct(start.alias("start"), number.alias("kind"), (start + s["size"]).alias("end"))
 
     spans = F.transform(steps, place)
-    if least and kind not in LONG_RUNS:
+    if below or (least and kind not in LONG_RUNS):
         long = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-        spans = F.filter(spans, lambda s, i: F.char_length(F.get(long, i)) >= least)
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPAN))
+        spans = F.filter(spans, lambda s, i: F.char_length(F.get(long, i)) < below if below else F.char_length(F.get(long, i)) >= least)
+    return F.when(text.rlike(SIGNS.get(kind, pattern)), spans).otherwise(F.array().cast(_SPAN))
 
 
 def strong_spans(text: Column) -> Column:
@@ -68,49 +79,65 @@ def _of(spans: str, kinds: tuple[str, ...]) -> Column:
     return F.filter(spans, lambda s: s["kind"].isin(*(ORDER.index(k) for k in kinds)))
 
 
-def _scope(text: Column, s: Column, reach: int) -> Column:
-    ahead = F.substring_index(F.substring(text, F.greatest(F.lit(1), s["start"] - reach + 1), F.least(F.lit(reach), s["start"])), "\n\n", -1)
-    after = F.substring_index(F.substring(text, s["end"] + 1, F.lit(reach)), "\n\n", 1)
-    return F.struct(s["kind"].alias("kind"), (s["start"] - F.char_length(ahead)).alias("lo"), (s["end"] + F.char_length(after)).alias("hi"))
+def weak_spans(text: Column) -> Column:
+    return F.concat(*(matches(text, kind, pattern, group, below=below) for kind, pattern, _, group, below in WEAK))
 
 
-def find_parts(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """doc_id, text_hash, strong (sorted spans), weak (spans), scopes of the strong spans.
+def linkable(strong: str, weak: str) -> Column:
+    """The weak spans whose complement stands somewhere in the same text; no other can be linked."""
+    has = lambda needs: (F.size(_of(strong, needs)) > 0) | (F.size(_of(weak, needs)) > 0)
+    return F.concat(*(F.when(has(needs), _of(weak, (kind,))).otherwise(F.array().cast(_SPAN)) for kind, _, needs, *_ in WEAK))
 
-    A null text counts as empty.  Weak parts are looked for only in texts that have
-    a strong part which could complement them.  Extra columns of ``docs`` are left out.
+
+def _scope(text: Column, s: Column, reach: int | None) -> Column:
+    far = F.greatest(F.lit(1), s["start"] - reach + 1) if reach else F.lit(1)
+    ahead = F.substring_index(F.substring(text, far, F.least(F.lit(reach), s["start"]) if reach else s["start"]), "\n\n", -1)
+    after = F.substring_index(F.substring(text, s["end"] + 1, F.lit(reach) if reach else F.char_length(text)), "\n\n", 1)
+    lo, hi = s["start"] - F.char_length(ahead), s["end"] + F.char_length(after)
+    return F.struct(s["kind"].alias("kind"), lo.alias("lo"), hi.alias("hi"), s["start"].alias("start"), s["end"].alias("end"))
+
+
+def find_parts(docs: DataFrame, reach: int | None = REACH) -> DataFrame:
+    """doc_id, text_hash, strong (sorted spans), weak (spans), scopes of both.
+
+    A null text counts as empty.  Weak parts are looked for in every text; those
+    that no part of the text could complement are left out, as are extra columns of ``docs``.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    base = base.withColumn("strong", F.sort_array(strong_spans(F.col("text"))))
-    none = F.array().cast(_SPAN)
-    weak = [F.when(F.size(_of("strong", needs)) > 0, matches(F.col("text"), kind, pattern)).otherwise(none) for kind, pattern, needs in WEAK]
-    scopes = F.transform("strong", lambda s: _scope(F.col("text"), s, reach))
-    out = base.withColumn("weak", F.when(F.size("strong") > 0, F.concat(*weak)).otherwise(none))
+    base = base.withColumn("strong", F.sort_array(strong_spans(F.col("text")))).withColumn("weak", weak_spans(F.col("text")))
+    out = base.withColumn("weak", linkable("strong", "weak"))
+    scopes = F.transform(F.concat("strong", "weak"), lambda s: _scope(F.col("text"), s, reach))
     out = out.withColumn("scopes", F.when(F.size("weak") > 0, scopes))
     return out.select("doc_id", F.xxhash64("text").alias("text_hash"), "strong", "weak", "scopes")
 
 
-def link_parts(parts: DataFrame, reach: int = REACH) -> DataFrame:
+def link_parts(parts: DataFrame, reach: int | None = REACH) -> DataFrame:
     """doc_id, text_hash, added: the weak spans that overlap the scope of a complement.
 
-    Scopes and spans are cut into bins of twice the reach, so the join has equal keys
-    and no bin holds more than fits in its length; ``parts`` is read twice.
+    Two weak parts must stand apart, so that a token in an address or a login's own
+    value is no complement; only a short assignment may be in an address.  Scopes and
+    spans are cut into bins of twice the reach, so the join has equal keys and no bin
+    holds more than fits in its length.  Parts of a kind with the same scope, as all in
+    a paragraph have, go as one, with their first end and last start.  ``parts`` is read twice.
     """
-    width = 2 * reach
+    width = 2 * reach if reach else PARAGRAPH_BIN
     some = parts.where(F.size("weak") > 0).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     key = ["doc_id", "text_hash"]
     bins = lambda lo, hi: F.explode(F.sequence(F.floor(lo / width), F.floor((F.greatest(hi, lo + 1) - 1) / width)))
     left = some.select(*key, F.explode("weak").alias("w")).withColumn("bin", bins(F.col("w.start"), F.col("w.end")))
-    right = some.select(*key, F.explode("scopes").alias("s")).withColumn("bin", bins(F.col("s.lo"), F.col("s.hi")))
+    right = some.select(*key, F.inline("scopes")).groupBy(*key, "kind", "lo", "hi").agg(F.min("end").alias("first_end"), F.max("start").alias("last_start"))
+    right = right.select(*key, F.struct("kind", "lo", "hi", "first_end", "last_start").alias("s")).withColumn("bin", bins(F.col("s.lo"), F.col("s.hi")))
     right = right.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.col("bin").alias("_b"), "s")
-    complements = [(F.col("w.kind") == ORDER.index(kind)) & F.col("s.kind").isin(*(ORDER.index(k) for k in needs)) for kind, _, needs in WEAK]
+    complements = [(F.col("w.kind") == ORDER.index(kind)) & F.col("s.kind").isin(*(ORDER.index(k) for k in needs)) for kind, _, needs, *_ in WEAK]
+    inside = [(F.col("w.kind") == ORDER.index(a)) & (F.col("s.kind") == ORDER.index(b)) for a, b in (("endpoint", "short_assign"), ("short_assign", "endpoint"))]
+    apart = (F.col("s.kind") < len(STRONG)) | (F.col("s.first_end") <= F.col("w.start")) | (F.col("s.last_start") >= F.col("w.end")) | inside[0] | inside[1]
     meets = (F.col("doc_id") == F.col("_d")) & (F.col("text_hash") == F.col("_t")) & (F.col("bin") == F.col("_b"))
-    meets &= (F.col("w.start") < F.col("s.hi")) & (F.col("w.end") > F.col("s.lo")) & reduce(lambda a, b: a | b, complements)
+    meets &= (F.col("w.start") < F.col("s.hi")) & (F.col("w.end") > F.col("s.lo")) & reduce(lambda a, b: a | b, complements) & apart
     linked = left.join(right, meets, "left_semi")
     return linked.groupBy(*key).agg(F.collect_set("w").alias("added"))
 
 
-def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
+def scan(docs: DataFrame, reach: int | None = REACH) -> DataFrame:
     """One row per document: doc_id, text_hash, strong and added spans (start, kind number in ORDER, end)."""
     parts = staged(find_parts(docs, reach), "parts")
     added = link_parts(parts, reach).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "added")
@@ -139,23 +166,22 @@ def mask(text: Column, spans: Column, sign: str = "[{}]") -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(F.sort_array(spans), start, step, rest)).otherwise(text)
 
 
-def redact(docs: DataFrame, reach: int = REACH) -> DataFrame:
+def redact(docs: DataFrame, reach: int | None = None) -> DataFrame:
     """``docs`` with every strong and every linked weak span of ``text`` replaced by its kind's sign.
 
-    Texts without a weak part are done in place; only others, which are few, are
-    written aside for the join.  A null text stays null.
+    Texts without a weak part that some other part of them could complement are done in
+    place; only the rest are written aside for the join.  A null text stays null.
     """
     strong, weak = clash_free(docs, "_strong", "_weak")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     none = F.array().cast(_SPAN)
-    found = docs.withColumn(strong, F.sort_array(strong_spans(text)))
-    may = F.concat(*(F.when(F.size(_of(strong, needs)) > 0, matches(text, kind, pattern)).otherwise(none) for kind, pattern, needs in WEAK))
-    found = found.withColumn(weak, F.when(F.size(strong) > 0, may).otherwise(none))
+    found = docs.withColumn(strong, F.sort_array(strong_spans(text))).withColumn(weak, weak_spans(text))
+    found = found.withColumn(weak, linkable(strong, weak))
     done = found.where(F.size(weak) == 0).withColumn("text", mask(F.col("text"), F.col(strong))).select(*docs.columns)
     rest = staged(found.where(F.size(weak) > 0), "weak")
     parts = rest.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col(weak).alias("weak"),
-        F.transform(strong, lambda s: _scope(F.col("text"), s, reach)).alias("scopes"),
+        F.transform(F.concat(strong, weak), lambda s: _scope(F.col("text"), s, reach)).alias("scopes"),
     )
     added = link_parts(parts, reach).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.col("added").alias("_added"))
     on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) == F.col("_d")) & (F.xxhash64("text") == F.col("_t"))
@@ -164,7 +190,7 @@ def redact(docs: DataFrame, reach: int = REACH) -> DataFrame:
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents"))
+    found = scan(table(spark, sf_dir, "documents"), reach=None)
     counts = [F.size(_of("strong", (k,))).cast("long").alias(f"n_{k}") for k, *_ in STRONG]
     return found.select(
         "doc_id", *counts, F.sha2(joined(F.col("strong")), 256).alias("base_sha256"), joined(F.concat("strong", "added")).alias("spans"), F.size("added").cast("long").alias("n_linked")
