@@ -164,6 +164,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
 
     A document taken whole keeps its text; of one taken in part, the words of the
     blocks taken stand in order, a space between.  ``n_chars`` follows the text.
+    A shard's rows stand together, by place; a row of several blocks where its first is.
     """
     doc, source, size, copy = clash_free(docs, "_doc", "_source", "_size", "_copy")
     sized = staged(sized_documents(docs), "sized")
@@ -171,8 +172,8 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
     words = targets.agg(F.sum("source_size")).first()[0] or 0
     drawn = mix(sized, targets, shards_for(words), block_words)
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))]
-    passes = drawn.groupBy("doc_id", "source", "size", "copy", "epoch").agg(F.sort_array(F.collect_list(F.struct("start", "words"))).alias("blocks"), F.sum("words").alias("taken"))
-    taken = passes.select(key[0].alias("_d"), key[1].alias("_s"), F.col("size").alias("_z"), F.struct("copy", "taken", "blocks").alias("one")).groupBy("_d", "_s", "_z").agg(F.collect_list("one").alias("_passes"))
+    passes = drawn.groupBy("doc_id", "source", "size", "copy", "epoch").agg(F.sort_array(F.collect_list(F.struct("start", "words"))).alias("blocks"), F.sum("words").alias("taken"), F.min_by(F.struct("shard", "place"), "start").alias("at"))
+    taken = passes.select(key[0].alias("_d"), key[1].alias("_s"), F.col("size").alias("_z"), F.struct("copy", "taken", "blocks", "at").alias("one")).groupBy("_d", "_s", "_z").agg(F.collect_list("one").alias("_passes"))
     named = docs.withColumn(doc, key[0]).withColumn(source, key[1]).withColumn(size, n_words(F.col("text")))
     named = named.withColumn(copy, F.row_number().over(Window.partitionBy(doc, source, size).orderBy(size)))
     joined = named.join(taken, (F.col(doc) == F.col("_d")) & (F.col(source) == F.col("_s")) & (F.col(size) == F.col("_z")))
@@ -183,7 +184,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    return rows.repartition("_pass.at.shard").sortWithinPartitions("_pass.at.shard", "_pass.at.place").select(*docs.columns)
 
 
 def shards_for(words: int, least: int = 64, shard_words: int = 1 << 24) -> int:
@@ -192,13 +193,14 @@ def shards_for(words: int, least: int = 64, shard_words: int = 1 << 24) -> int:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken: the words that the mix takes of each document."""
+    """doc_id, size, source_size, target, taken: the words that the mix takes of each document; draws: where its blocks go."""
     sized = staged(sized_documents(table(spark, sf_dir, "documents")), "sized")
     targets = staged(source_targets(sized), "targets")
     words = targets.agg(F.sum("source_size")).first()[0] or 0
     drawn = mix(sized, targets, shards_for(words))
     key = ["doc_id", "source", "size", "copy"]
-    both = sized.select(*key, F.lit(0).cast("long").alias("words")).unionByName(drawn.select(*key, "words"))
-    per = both.groupBy(*key).agg(F.sum("words").alias("taken"))
+    draw = drawn.select(*key, "words", F.struct("epoch", "block", "shard", "place", "words").alias("draw"))
+    both = sized.select(*key, F.lit(0).cast("long").alias("words")).unionByName(draw, allowMissingColumns=True)
+    per = both.groupBy(*key).agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list("draw")).alias("draws"))
     per = per.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
-    return per.select("doc_id", "size", "source_size", "target", "taken", "source", "copy")
+    return per.select("doc_id", "size", "source_size", "target", "taken", "source", "copy", "draws")

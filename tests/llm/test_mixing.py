@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -90,3 +92,24 @@ def test_query(spark, sf_dir):
     for s in {r["source"] for r in rows}:
         own = [r for r in rows if r["source"] == s]
         assert sum(r["taken"] for r in own) == round(own[0]["target"]) and sum(r["size"] for r in own) == own[0]["source_size"]
+
+
+def test_query_returns_the_draws(spark, sf_dir):
+    rows = mixing.op6_mixing(spark, sf_dir).collect()
+    assert all(sum(d["words"] for d in r["draws"]) == r["taken"] for r in rows)
+    shards = {}
+    for r in rows:
+        for d in r["draws"]:
+            shards.setdefault(d["shard"], []).append(d["place"])
+    assert len(shards) == 64 and all(sorted(p) == list(range(len(p))) for p in shards.values())
+
+
+def test_mixed_rows_stand_by_shard_and_place(spark):
+    docs = table(spark, [(i, f"w{i} x y", f"s{i % 3}") for i in range(400)])
+    sized = mixing.sized_documents(docs)
+    shards = {}
+    for r in mixing.mix(sized, mixing.source_targets(sized), 64).orderBy("shard", "place").collect():
+        shards.setdefault(r["shard"], []).append(r["doc_id"])
+    got = [r["doc_id"] for r in mixing.mixed_documents(docs).collect()]
+    inside = Counter(pair for s in shards.values() for pair in zip(s, s[1:], strict=False))
+    assert not inside - Counter(zip(got, got[1:], strict=False)) and len(got) == sum(map(len, shards.values()))
