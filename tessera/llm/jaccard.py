@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import release, shuffle_width, staged, table
@@ -60,16 +60,20 @@ class Threshold:
         return n - self.least_overlap(n) + self.shared(n)
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string")).alias("text_hash")
+
+
 def shingle_classes(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, sig (the hash of the set; 0 for an empty one), for every row."""
+    """doc_id, n_shingles, sig (the hash of the set; 0 for an empty one), text_hash, for every row."""
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole, k in ((b, k) for b in batches for k in range(0, b.num_rows, 500)):
             batch = whole.slice(k, 500)
             found = sets(batch.column(1).cast(pa.binary()).to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([signature(s) for s in found], pa.int64())], names=["doc_id", "n_shingles", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([signature(s) for s in found], pa.int64()), batch.column(2)], names=["doc_id", "n_shingles", "sig", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(classes, "doc_id long, n_shingles long, sig long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash()).mapInArrow(classes, "doc_id long, n_shingles long, sig long, text_hash long")
 
 
 # Rows on their way: a key's lowest 48 bits (the task has the highest), a class's lowest 40, its size.
@@ -280,8 +284,14 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataF
     Sets of word ``width``-grams link when their Jaccard similarity is num/den or
     more; component_id is the smallest doc_id that links reach.  Null and wordless
     texts have empty sets, which link with nothing.  Rows of one doc_id count each;
-    among equal ones nothing differs.  ``docs`` is read three times.
+    among equal ones nothing differs.  ``docs`` is read three times, and its rows
+    without a doc_id once more.
     """
+    return _grouped_rows(docs, width, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped_rows(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Rows of :func:`jaccard_components` with text_hash and keeper, the group's first row (no_id, doc_id, text_hash); null for empty sets."""
     t = Threshold(num, den)
     spark = docs.sparkSession
     classes = staged(shingle_classes(docs, width), "classes")
@@ -289,9 +299,9 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataF
     tasks = max(shuffle_width(spark), int(total * 1.5 * (den - num) / den / KEYS_PER_TASK))
     clusters = staged(connected_components(_candidate_edges(docs, width, t, tasks)), "clusters")
     release(spark)
-    firsts = classes.where("n_shingles > 0").groupBy("sig").agg(F.min(F.struct("doc_id", "n_shingles")).alias("_f"))
+    firsts = classes.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("_doc"), F.min("n_shingles").alias("n_shingles"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("_keep"))
     of = F.col("sig").bitwiseAND((1 << ID_BITS) - 1)
-    wanted = firsts.join(clusters, of == F.col("node")).select(F.col("_f.doc_id").alias("_doc"), "sig", F.col("root").alias("cluster"), "_f.n_shingles")
+    wanted = firsts.join(clusters, of == F.col("node")).select("_doc", "sig", F.col("root").alias("cluster"), "n_shingles")
     wanted = staged(wanted, "wanted")
     per = wanted.groupBy("cluster").agg(F.count("*").alias("_m"), F.sum("n_shingles").alias("_s"))
     blocks = F.greatest(F.ceil(F.col("_m") / F.greatest(F.lit(BLOCK_CLASSES), F.col("_m") / 24)), F.ceil(F.col("_s") / BLOCK_SHINGLES))
@@ -309,15 +319,25 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataF
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text"))
     # always a merge join: what is wanted grows with the documents, so that it is small tells little
     members = texts.join(wanted.hint("merge"), "_doc").select("sig", "cluster", "blocks", "text").mapInArrow(with_sets, "sig long, cluster long, blocks int, set binary")
-    members = staged(members.dropDuplicates(["sig"]), "members")
+
+    def own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                found = sets(batch.column(0).slice(k, 500).cast(pa.binary()).to_pylist(), width)
+                yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["sig", "set"])
+
+    # classes that no row with a doc_id is in are found by their signature
+    nameless = docs.where(F.col("doc_id").cast("long").isNull()).select(F.col("text").cast("string").alias("text")).mapInArrow(own_sets, "sig long, set binary")
+    nameless = nameless.join(wanted.where(F.col("_doc").isNull()), "sig").select("sig", "cluster", "blocks", "set")
+    members = staged(members.unionByName(nameless).dropDuplicates(["sig"]), "members")
     release(spark)
     roots = connected_components(_verified_edges(members, t))
-    labelled = firsts.select("sig", F.col("_f.doc_id").alias("_first")).join(roots.withColumnRenamed("node", "sig"), "sig", "left")
-    labelled = staged(labelled.select("sig", "_first", F.coalesce("root", "sig").alias("root")), "labelled")
-    least = labelled.groupBy("root").agg(F.min("_first").alias("component_id"))
-    final = labelled.join(least, "root").select("sig", "component_id")
+    labelled = firsts.select("sig", F.col("_doc").alias("_first"), "_keep").join(roots.withColumnRenamed("node", "sig"), "sig", "left")
+    labelled = staged(labelled.select("sig", "_first", "_keep", F.coalesce("root", "sig").alias("root")), "labelled")
+    least = labelled.groupBy("root").agg(F.min("_first").alias("component_id"), F.min("_keep").alias("keeper"))
+    final = labelled.join(least, "root").select("sig", "component_id", "keeper")
     out = classes.join(final, (classes["sig"] == final["sig"]) & (classes["n_shingles"] > 0), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", "keeper")
 
 
 def one_of_each_group(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
