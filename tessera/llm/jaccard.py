@@ -341,13 +341,15 @@ def _grouped_rows(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` but those that links lead to a smaller doc_id, and but repeated rows.
+    """One row of each group of ``docs``, of the smallest doc_id in it; rows with empty sets stay unless they repeat.
 
-    Rows without a doc_id can't be told apart by one; they stay unless they repeat.
+    Rows are told apart by doc_id and text, as a doc_id may repeat with other texts.
     """
-    groups = jaccard_components(docs, width, num, den)
-    dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti").dropDuplicates(["doc_id", "text"])
+    groups = _grouped_rows(docs, width, num, den)
+    same = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("text_hash") == F.col("keeper.text_hash"))
+    dropped = groups.where(F.col("keeper").isNotNull() & ~same).select(F.col("doc_id").alias("_dropped"), F.col("text_hash").alias("_hash")).distinct()
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_dropped")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash"))
+    return docs.join(dropped, on, "left_anti").dropDuplicates(["doc_id", "text"])
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
