@@ -8,6 +8,7 @@ with section spans then counts: both are sorted, so it is a binary search.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,12 @@ SCHEMA = T.StructType(
         T.StructField("n_crossing", T.LongType()),
     ]
 )
+#: Sections that are sent on together, about.
+_ROWS = 100_000
 _ENCODERS: dict[str, tuple] = {}
+# White space as the vocabulary's pattern sees it, in runs too long for the pattern's own stack.
+_SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LONG_BLANK = re.compile(f"[{_SPACES}]{{50000,}}")
 
 
 def encoder(path: str):
@@ -47,10 +53,26 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
+def encode(encoding, text: str) -> np.ndarray:
+    """Ids of a whole text.  Long runs of white space are encoded apart, each as the piece that the pattern makes of it.
+
+    The pattern takes such a run as one piece but for its last character, which
+    stands before a word or alone; at the end of a text it takes all of it.
+    """
+    parts, at = [], 0
+    for run in _LONG_BLANK.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        parts.append(encoding.encode_to_numpy(text[at : run.start()], disallowed_special=()))
+        parts.append(np.array(encoding._encode_single_piece(text[run.start() : end]), dtype=np.uint32))
+        at = end
+    last = encoding.encode_to_numpy(text[at:], disallowed_special=())
+    return np.concatenate([*parts, last]) if parts else last
+
+
 def token_spans(text: str, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Code points at which tokens start and end.  A token that holds part of a character counts it whole."""
     encoding, lengths = encoder(path)
-    ends = np.cumsum(lengths[encoding.encode_to_numpy(text, disallowed_special=())])
+    ends = np.cumsum(lengths[encode(encoding, text)])
     starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
     if text.isascii():
         return starts, ends
@@ -88,10 +110,8 @@ def attribute(starts: np.ndarray, ends: np.ndarray, lo: np.ndarray, hi: np.ndarr
 
 def line_sections(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Lines with their line feeds; they tile the text, and an empty text is one empty line."""
-    cuts = np.cumsum([len(x) + 1 for x in text.split("\n")])
-    cuts[-1] -= 1
-    if len(cuts) > 1 and cuts[-1] == cuts[-2]:
-        cuts = cuts[:-1]
+    ends = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4") == 10) + 1
+    cuts = ends if len(ends) and ends[-1] == len(text) else np.append(ends, len(text))
     return np.concatenate(([0], cuts[:-1])), cuts
 
 
@@ -100,7 +120,9 @@ def token_counts(docs: DataFrame, vocabulary_path: str, rule: str = "first", sec
 
     ``sections`` names a column of array<struct<start, end>> in code points; without
     it, lines are the sections.  A null text counts as empty, a null array as no
-    sections; ends beyond the text are cut to it.
+    sections, a null section or one with a null bound as an empty one at 0; ends
+    beyond the text are cut to it.  Rows count one by one, repeated or not, a null
+    doc_id stays null, and other columns are left out.  No rows give no rows.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
@@ -111,19 +133,28 @@ def token_counts(docs: DataFrame, vocabulary_path: str, rule: str = "first", sec
                 batch = whole.slice(k, 500)
                 given = batch.column(2).to_pylist() if sections else None
                 out: list[list[np.ndarray]] = [[] for _ in SCHEMA]
-                for n, (doc_id, text) in enumerate(zip(batch.column(0), batch.column(1).to_pylist(), strict=True)):
+                rows = 0
+                for n, text in enumerate(batch.column(1).to_pylist()):
                     text = text or ""
                     if given is None:
                         lo, hi = line_sections(text)
                     else:
-                        lo, hi = (np.clip(np.array([s[e] for s in given[n] or []], dtype=np.int64), 0, len(text)) for e in ("start", "end"))
+                        bounds = [(s["start"], s["end"]) if s and None not in (s["start"], s["end"]) else (0, 0) for s in given[n] or []]
+                        lo, hi = np.clip(np.array(bounds, dtype=np.int64).reshape(-1, 2).T, 0, len(text))
                     found, crossing = attribute(*token_spans(text, vocabulary_path), lo, hi, rule)
                     for column, values in zip(out, (np.full(len(lo), n), np.arange(len(lo)), lo, hi, found, crossing), strict=True):
                         column.append(values)
-                columns = [np.concatenate(c) if c else np.zeros(0) for c in out]
-                ids = batch.column(0).take(pa.array(columns[0].astype(np.int64)))
-                rest = [pa.array(c.astype(t), pa.from_numpy_dtype(t)) for c, t in zip(columns[1:], (np.int32, np.int64, np.int64, np.float64, np.int64), strict=True)]
-                yield pa.RecordBatch.from_arrays([ids, *rest], names=SCHEMA.names)
+                    rows += len(lo)
+                    if rows > _ROWS:
+                        yield counted(batch.column(0), out)
+                        out, rows = [[] for _ in SCHEMA], 0
+                yield counted(batch.column(0), out)
+
+    def counted(doc_ids: pa.Array, out: list[list[np.ndarray]]) -> pa.RecordBatch:
+        columns = [np.concatenate(c) if c else np.zeros(0) for c in out]
+        ids = doc_ids.take(pa.array(columns[0].astype(np.int64)))
+        rest = [pa.array(c.astype(t), pa.from_numpy_dtype(t)) for c, t in zip(columns[1:], (np.int32, np.int64, np.int64, np.float64, np.int64), strict=True)]
+        return pa.RecordBatch.from_arrays([ids, *rest], names=SCHEMA.names)
 
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
     if sections:

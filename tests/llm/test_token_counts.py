@@ -4,7 +4,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from tessera.llm.tokencounts import attribute, encoder, line_sections, token_counts, token_spans
+from tessera.llm import tokencounts
+from tessera.llm.tokencounts import attribute, encode, encoder, line_sections, token_counts, token_spans
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -47,3 +48,30 @@ def test_fields(spark):
     assert got[1, 0][:2] == (6, 9) and got[1, 1][:2] == (15, 16) and len(got) == 2
     with pytest.raises(ValueError):
         token_counts(df, PATH, "half")
+
+
+def test_long_blank_runs(monkeypatch):
+    encoding, _ = encoder(PATH)
+    for run in (" ", "\n", " \n", "\t \u3000", "\x85"):
+        for text in (f"a{run * 4000}", f"{run * 4000}b c", f"é{run * 3000} b{run * 3000}\n1{run * 20}!", run * 5000):
+            with monkeypatch.context() as m:
+                m.setattr(tokencounts, "_LONG_BLANK", tokencounts.re.compile(f"[{tokencounts._SPACES}]{{100,}}"))
+                assert encode(encoding, text).tolist() == encoding.encode(text, disallowed_special=())
+    starts, ends = token_spans("x" + " " * 10_000_000 + "y", PATH)
+    assert ends[-1] == 10_000_002 and (starts[1:] == ends[:-1]).all()
+
+
+def test_lines():
+    for text in ("", "\n", "a", "a\n", "a\n\nb", "é\n😀"):
+        lo, hi = line_sections(text)
+        assert [text[a:b] for a, b in zip(lo, hi, strict=True)] == (text.splitlines(keepends=True) or [""])
+
+
+def test_null_sections_and_many_lines(spark, monkeypatch):
+    monkeypatch.setattr(tokencounts, "_ROWS", 3)
+    df = spark.createDataFrame([(1, "one two", [None, (0, 3), (None, 3), (2, None)])], "doc_id long, text string, parts array<struct<start:int,end:int>>")
+    got = token_counts(df, PATH, "first", "parts").orderBy("section").collect()
+    assert [(r["start"], r["end"], r["n_tokens"]) for r in got] == [(0, 0, 0), (0, 3, 1), (0, 0, 0), (0, 0, 0)]
+    many = spark.createDataFrame([(i, "a\n" * i) for i in range(12)], "doc_id long, text string")
+    rows = token_counts(many, PATH).collect()
+    assert sorted((r["doc_id"], r["section"]) for r in rows) == sorted((i, k) for i in range(12) for k in range(max(1, i)))
