@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.arrays import cut, greatest, let, segments, sums
 from tessera.llm.common import clash_free, staged, table
 
 # The strong kinds, in order, with the group whose length counts.
@@ -51,24 +52,21 @@ def matches(text: Column, kind: str, pattern: str, group: int = 0, least: int =
     """Leftmost non-overlapping matches as sorted structs (start, kind, end), in code points.
 
     What stands between matches comes from a split at the same pattern, so lengths
-    summed up give places.  Texts without a match pay for one search.
+    summed up give places.  ``group`` is looked at in each match by itself; patterns
+    with one need nothing from outside a match.  Texts without a match pay for one search.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    steps = F.zip_with(between, found, lambda b, m: F.struct(F.char_length(b).alias("skip"), F.char_length(m).alias("size")))
-    steps = F.slice(F.transform(steps, lambda s: F.struct(s["skip"].alias("skip"), F.coalesce(s["size"], F.lit(0)).alias("size"))), 1, F.size(found))
     number = F.lit(ORDER.index(kind))
 
-    def place(s: Column, i: Column) -> Column:
-        ahead = F.aggregate(F.slice(steps, 1, i), F.lit(0), lambda n, x: n + x["skip"] + x["size"])
-        start = ahead + s["skip"]
-        return F.struct(start.alias("start"), number.alias("kind"), (start + s["size"]).alias("end"))
+    def placed(found: Column) -> Column:
+        lengths = F.slice(F.zip_with(F.split(text, pattern, -1), found, lambda b, m: F.char_length(b) + F.coalesce(F.char_length(m), F.lit(0))), 1, F.size(found))
+        return let(sums(lengths), lambda ends: F.zip_with(found, ends, lambda m, e: F.struct((e - F.char_length(m)).alias("start"), number.alias("kind"), e.alias("end"), m.alias("m"))))
 
-    spans = F.transform(steps, place)
+    spans = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
     if below or (least and kind not in LONG_RUNS):
-        long = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-        spans = F.filter(spans, lambda s, i: F.char_length(F.get(long, i)) < below if below else F.char_length(F.get(long, i)) >= least)
-    return F.when(text.rlike(SIGNS.get(kind, pattern)), spans).otherwise(F.array().cast(_SPAN))
+        size = lambda s: F.char_length(F.regexp_extract(s["m"], pattern, group) if group else s["m"])
+        spans = F.filter(spans, lambda s: size(s) < below if below else size(s) >= least)
+    bare = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    return F.when(text.rlike(SIGNS.get(kind, pattern)), bare).otherwise(F.array().cast(_SPAN))
 
 
 def strong_spans(text: Column) -> Column:
@@ -89,12 +87,27 @@ def linkable(strong: str, weak: str) -> Column:
     return F.concat(*(F.when(has(needs), _of(weak, (kind,))).otherwise(F.array().cast(_SPAN)) for kind, _, needs, *_ in WEAK))
 
 
-def _scope(text: Column, s: Column, reach: int | None) -> Column:
-    far = F.greatest(F.lit(1), s["start"] - reach + 1) if reach else F.lit(1)
-    ahead = F.substring_index(F.substring(text, far, F.least(F.lit(reach), s["start"]) if reach else s["start"]), "\n\n", -1)
-    after = F.substring_index(F.substring(text, s["end"] + 1, F.lit(reach) if reach else F.char_length(text)), "\n\n", 1)
-    lo, hi = s["start"] - F.char_length(ahead), s["end"] + F.char_length(after)
-    return F.struct(s["kind"].alias("kind"), lo.alias("lo"), hi.alias("hi"), s["start"].alias("start"), s["end"].alias("end"))
+def scopes(text: Column, spans: Column, reach: int | None) -> Column:
+    """For each of ``spans``: kind, start, end, and lo..hi, its paragraph, or what of it lies within ``reach``.
+
+    No part holds a line feed, so each stands in one paragraph.  Parts and ends of
+    paragraphs are put in one order, in which running counts tell each part its own.
+    """
+    gap = 2  # code points between paragraphs
+    breaks = lambda text: sums(F.transform(F.split(text, "\n\n", -1), lambda p: F.char_length(p) + gap))  # noqa: E731  past each paragraph and its break
+
+    def scoped(ends: Column) -> Column:
+        # an end of a paragraph stands before all that starts there
+        marks = F.transform(F.slice(ends, 1, F.size(ends) - 1), lambda e: F.struct(e.alias("start"), F.lit(-1).alias("kind"), e.alias("end")))
+        return let(F.sort_array(F.concat(marks, spans)), lambda all_: let(sums(F.transform(all_, lambda s: (s["kind"] < 0).cast("int"))), lambda at: F.filter(F.zip_with(all_, at, lambda s, n: one(s, n, ends)), lambda s: s["kind"] >= 0)))
+
+    def one(s: Column, n: Column, ends: Column) -> Column:
+        lo, hi = F.when(n > 0, F.get(ends, n - 1)).otherwise(0), F.get(ends, n) - gap
+        if reach:
+            lo, hi = F.greatest(lo, s["start"] - reach), F.least(hi, s["end"] + reach)
+        return F.struct(s["kind"].alias("kind"), lo.alias("lo"), hi.alias("hi"), s["start"].alias("start"), s["end"].alias("end"))
+
+    return let(breaks(F.coalesce(text, F.lit(""))), scoped)
 
 
 def find_parts(docs: DataFrame, reach: int | None = REACH) -> DataFrame:
@@ -106,8 +119,7 @@ def find_parts(docs: DataFrame, reach: int | None = REACH) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("strong", F.sort_array(strong_spans(F.col("text")))).withColumn("weak", weak_spans(F.col("text")))
     out = base.withColumn("weak", linkable("strong", "weak"))
-    scopes = F.transform(F.concat("strong", "weak"), lambda s: _scope(F.col("text"), s, reach))
-    out = out.withColumn("scopes", F.when(F.size("weak") > 0, scopes))
+    out = out.withColumn("scopes", F.when(F.size("weak") > 0, scopes(F.col("text"), F.concat("strong", "weak"), reach)))
     return out.select("doc_id", F.xxhash64("text").alias("text_hash"), "strong", "weak", "scopes")
 
 
@@ -155,33 +167,37 @@ def joined(spans: Column) -> Column:
 def mask(text: Column, spans: Column, sign: str = "[{}]") -> Column:
     """``text`` with each span replaced by its kind's sign; spans that overlap become one, named by the first."""
     names = F.array(*(F.lit(sign.format(k.upper())) for k in ORDER))
-    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
 
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        fresh = F.struct(F.concat(acc["done"], kept, F.get(names, s["kind"])).alias("done"), s["end"].alias("at"))
-        return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(acc["done"].alias("done"), F.greatest(acc["at"], s["end"]).alias("at")))
+    def masked(ordered: Column) -> Column:
+        return let(greatest(F.transform(ordered, lambda s: s["end"])), lambda ends: let(segments(text), lambda pieces: whole(ordered, ends, pieces)))
 
-    rest = lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.char_length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(F.sort_array(spans), start, step, rest)).otherwise(text)
+    def whole(ordered: Column, ends: Column, pieces: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(0)
+        kept = lambda s, i: F.when(s["start"] >= before(i), F.concat(cut(pieces, before(i), s["start"]), F.get(names, s["kind"]))).otherwise("")
+        return F.concat(F.array_join(F.transform(ordered, kept), ""), cut(pieces, F.element_at(ends, -1), F.char_length(text)))
+
+    return F.when(F.size(spans) > 0, let(F.sort_array(spans), masked)).otherwise(text)
 
 
 def redact(docs: DataFrame, reach: int | None = None) -> DataFrame:
     """``docs`` with every strong and every linked weak span of ``text`` replaced by its kind's sign.
 
-    Texts without a weak part that some other part of them could complement are done in
-    place; only the rest are written aside for the join.  A null text stays null.
+    Patterns are run once: rows are written aside with their spans.  Texts without a
+    weak part that some other part of them could complement are then done in place;
+    only the rest are joined with their links.  A null text stays null, a text
+    without spans as it is; repeated rows are each masked, and a null doc_id is a
+    doc_id like others.  Extra columns stay, whatever their names.
     """
     strong, weak = clash_free(docs, "_strong", "_weak")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     none = F.array().cast(_SPAN)
     found = docs.withColumn(strong, F.sort_array(strong_spans(text))).withColumn(weak, weak_spans(text))
-    found = found.withColumn(weak, linkable(strong, weak))
+    found = staged(found.withColumn(weak, linkable(strong, weak)), "spans")
     done = found.where(F.size(weak) == 0).withColumn("text", mask(F.col("text"), F.col(strong))).select(*docs.columns)
-    rest = staged(found.where(F.size(weak) > 0), "weak")
+    rest = found.where(F.size(weak) > 0)
     parts = rest.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col(weak).alias("weak"),
-        F.transform(F.concat(strong, weak), lambda s: _scope(F.col("text"), s, reach)).alias("scopes"),
+        scopes(F.col("text"), F.concat(strong, weak), reach).alias("scopes"),
     )
     added = link_parts(parts, reach).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.col("added").alias("_added"))
     on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) == F.col("_d")) & (F.xxhash64("text") == F.col("_t"))
@@ -190,10 +206,13 @@ def redact(docs: DataFrame, reach: int | None = None) -> DataFrame:
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked.
+
+    A null text counts as empty, and a text without spans has the hash of nothing.
+    Rows of equal doc_id and text have equal results; a null doc_id stays null.
+    """
     found = scan(table(spark, sf_dir, "documents"), reach=None)
     counts = [F.size(_of("strong", (k,))).cast("long").alias(f"n_{k}") for k, *_ in STRONG]
     return found.select(
         "doc_id", *counts, F.sha2(joined(F.col("strong")), 256).alias("base_sha256"), joined(F.concat("strong", "added")).alias("spans"), F.size("added").cast("long").alias("n_linked")
     )
-
-

@@ -73,3 +73,32 @@ def test_weak_parts_complement_each_other(spark):
     assert got == {i: kinds.split() for i, kinds in enumerate(texts.values())}
     masked = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
     assert masked[0] == "[LOGIN] [SHORT_ASSIGN] [ENDPOINT]" and masked[8] == "password=hunter2"
+
+
+def test_work_grows_with_the_matches(spark):
+    import time
+
+    many = "0123456789abcdef " * 60_000 + "token=short\n\n" * 20_000 + "user: bob password=abcdefghijkl123 " * 10_000
+    df = spark.createDataFrame([(1, many)], "doc_id long, text string")
+    began = time.time()
+    row = secrets.scan(df, reach=None).select(secrets.joined(F.col("strong")).alias("s"), F.size("added").alias("n")).first()
+    masked = secrets.redact(df).first()["text"]
+    assert time.time() - began < 60
+    assert row["s"] == base(many) and row["n"] == 10_000
+    assert masked == "[HEX] " * 60_000 + "token=short\n\n" * 20_000 + "[LOGIN] [ASSIGN] " * 10_000
+
+
+def test_scopes_equal_a_search_from_each_span(spark):
+    import random
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["\n", "\n\n", "é x ", "\n\n\n", "user: bob ", "😀", "password=abcdefghijkl123 ", "http://a.b "]) for _ in range(rng.randint(1, 90))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for reach in (None, 20):
+        for r in secrets.find_parts(df, reach).collect():
+            text = texts[r["doc_id"]]
+            for s in r["scopes"] or []:
+                paragraphs = [0, *(m.end() for m in re.finditer("\n\n", text[: s["start"]]))]
+                after = text.find("\n\n", s["end"])
+                lo, hi = paragraphs[-1], len(text) if after < 0 else after
+                assert (s["lo"], s["hi"]) == (lo, hi) if reach is None else (max(lo, s["start"] - reach), min(hi, s["end"] + reach))
