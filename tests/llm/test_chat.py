@@ -58,10 +58,21 @@ def test_read_back(spark):
 def test_edges_of_linear_trees(spark):
     rows = [(1, None, "user", "first"), (1, 2, None, None), (1, 2, None, None), (None, 1, "user", "lost"), (2, 0, "assistant", "x" * 100_000)]
     done = chat.format_trees(chat.linear_trees(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
-    assert {r["tree"]: r["n_turns"] for r in done.collect()} == {1: 3, 2: 1}
+    assert {r["tree"]: r["n_turns"] for r in done.collect()} == {"1": 3, "2": 1, "": 1}
     assert chat.format_trees(chat.linear_trees(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
 
+def test_query_on_odd_rows_equals_sql(spark, monkeypatch):
+    rows = [(None, 1, "user", "lost", 7), (None, 0, "assistant", "x", 7), (-1, 0, "user", "own", 7), (3, None, None, None, 7), (3, 1, "assistant", "<|\\", 7), (3, 1, "assistant", "<|\\", 7)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, node int").withColumn("tree", F.lit("clash"))
+    monkeypatch.setattr(chat, "table", lambda *_: df)
+    con = duckdb.connect()
+    con.register("conversations", df.toArrow())
+    wanted = con.sql(chat.OP4_SQL)
+    got = chat.op4_chat_formatting(spark, "").select(*wanted.columns)
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, wanted.fetchall()))
+
+
 def test_query_equals_sql(spark, sf_dir):
     con = duckdb.connect()
     con.sql(f"create view conversations as select * from '{sf_dir}/conversations.parquet'")
