@@ -137,12 +137,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int
     """Learn ``label`` (0 or 1) from ``labels`` (doc_id, label) and the texts of ``docs``.
 
     At most ``fit_rows`` labelled doc_ids are used, a sample that depends on doc_id
-    alone; a doc_id labelled more than once counts as 1 if any of its labels is.
-    None if there is no row of one of the classes.
+    alone; a doc_id labelled more than once counts as 1 if any of its labels is, and
+    any label but 0 counts as 1.  A doc_id with several texts gives one row, that of
+    the text with the smallest hash, so no more than ``fit_rows`` rows reach the
+    driver.  Null labels, doc_ids and labels without a document are left out; a null
+    text counts as empty.  None if there is no row of one of the classes.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
+    marked = F.max(F.when(F.col(label) != 0, 1).otherwise(0))
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(marked.alias("y"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("y", "text")
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = held.groupBy("doc_id").agg(F.first("y").alias("y"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("y", "text")
     rows = staged(rows.repartition(32), "fit")  # bounded by fit_rows, and read three times
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +203,10 @@ def _chunks(column: pa.ChunkedArray) -> Iterator[tuple[int, pa.ListArray]]:
 
 
 def score(docs: DataFrame, model: FactorizationMachine | None, *carried: str) -> DataFrame:
-    """``carried`` columns and ``score`` for every row; a null text counts as empty.  Without a model, 0."""
+    """``carried`` columns and ``score`` for every row; a null text counts as empty.  Without a model, 0.
+
+    Rows of equal text have equal scores, repeated or not; no rows give no rows.
+    """
     if model is None:
         return docs.select(*carried, F.lit(0.0).alias("score"))
     kept = docs.select(*carried)
@@ -225,5 +233,6 @@ def fitted(spark: SparkSession, sf_dir: str) -> FactorizationMachine | None:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row; a null doc_id stays null and is not held out."""
     out = score(table(spark, sf_dir, "documents"), fitted(spark, sf_dir), "doc_id")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -65,3 +65,35 @@ def test_held_out_accuracy(spark):
     right = [r["predicted"] == labels[r["doc_id"]] for r in rows]
     assert len(rows) > 50 and np.mean(right) > 0.9
     assert not any(r["predicted"] for r in rows if labels[r["doc_id"]] == 0)
+
+
+def test_labels_of_any_number_and_repeated_ids(spark):
+    rows = sample(300, 3)
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows] + [(rows[0][0], f"other {i}") for i in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, 5 * y) for d, _, y in rows], "doc_id long, toxic int")
+    seen = []
+    train = toxicity.train
+    toxicity.train = lambda x, y, **k: seen.append((len(x), sorted(set(y)))) or train(x, y, steps=10)
+    try:
+        toxicity.fit(docs, labels, fit_rows=200)
+    finally:
+        toxicity.train = train
+    assert seen == [(200, [0.0, 1.0])]
+
+
+def test_training_follows_the_gradient():
+    rng = np.random.default_rng(1)
+    x = (rng.random((40, 6)) < 0.4).astype(np.uint8)
+    y = (x[:, 0] & x[:, 1]).astype(float)
+    b, w, v = toxicity.train(x, y, steps=3000, decay=0.0)
+
+    def loss(b, w, v):
+        z = np.array([b + w @ r + sum(v[i] @ v[j] for i in range(6) for j in range(i) if r[i] and r[j]) for r in x.astype(float)])
+        return np.mean(np.log1p(np.exp(-np.where(y > 0, z, -z))))
+
+    here, step = loss(b, w, v), 1e-4
+    for bump in range(6):
+        d = np.zeros(6)
+        d[bump] = step
+        assert abs(loss(b, w + d, v) - here) / step < 0.01
+    assert here < 0.1
