@@ -21,12 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    ``spark.checkpoint.dir`` names it.  Only where that is unset, as in tests on
-    one machine, a temporary folder takes its place.
+    ``spark.checkpoint.dir`` names it.  Where that is unset, a temporary folder takes
+    its place if driver and executors are one process, as in tests; on a cluster, a
+    folder in the warehouse does, which is shared too.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tessera-scratch"
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
@@ -48,6 +52,20 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def forget(spark: SparkSession, since: int, *kept: DataFrame) -> None:
+    """Delete the tables written after the first ``since``, but for ``kept``; nothing may read them any more."""
+    stay = {df.staged_path for df in kept}
+    gone = [path for _, path in _WRITTEN[since:] if path not in stay]
+    _WRITTEN[since:] = [w for w in _WRITTEN[since:] if w[1] in stay]
+    for path in gone:
+        remove(spark, path)
+
+
+def written() -> int:
+    """Number of tables that :func:`staged` wrote and that still count, for :func:`forget`."""
+    return len(_WRITTEN)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
