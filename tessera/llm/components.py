@@ -16,16 +16,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long): root is the component's smallest node.
 
     Rounds of contraction: each node goes to its smallest neighbour if that is
-    smaller, edges follow, and those that fall together vanish.  The number of
-    edges shrinks with each round; each round's tables are written to the shared
-    folder.  Null ends are left out; loops give single nodes.
+    smaller, edges follow, and those that fall together vanish.  Smaller is what has
+    the smaller hash (a permutation of longs), so no order of the numbers, such as
+    that of a path, makes rounds many: about log2 of the nodes.  Each round's tables
+    are written to the shared folder.  Null ends are left out; loops give single nodes.
     """
-    left = staged(edges.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    where = staged(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("at", F.col("node")), "nodes")
+    hashed = edges.where("a is not null and b is not null").select(F.xxhash64(F.col("a").cast("long")).alias("a"), F.xxhash64(F.col("b").cast("long")).alias("b"))
+    names = edges.where("a is not null and b is not null").select(F.explode(F.array(F.col("a").cast("long"), F.col("b").cast("long"))).alias("node")).distinct()
+    left = staged(hashed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    where = staged(names.withColumn("at", F.xxhash64("node")), "nodes")
     while True:
         pairs = left.where("a < b")
         if pairs.isEmpty():
-            return where.select("node", F.col("at").alias("root"))
+            least = where.groupBy("at").agg(F.min("node").alias("root"))
+            return where.join(least, "at").select("node", "root")
         # b's smallest neighbour is below it; a keeps its place unless it is some other pair's b
         step = staged(_least(pairs.select(F.col("b").alias("node"), F.col("a").alias("to"))), "step")
         moved = pairs

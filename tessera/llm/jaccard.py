@@ -1,18 +1,20 @@
 """Exact Jaccard join on word n-grams: T-occurrence search with DivideSkip.
 
 Equal sets are one class.  The search goes twice over inverted lists.  First, across
-the cluster, every class lists a prefix of its shingles in the order of their hashes,
-long enough that two linked classes share several of them; classes whose prefix is
-shared too little are out, and of the others only the shortest lists are kept, the
-longest being skipped as far as the required overlap allows.  Classes that meet in a
-list form clusters.  Then, within blocks of a cluster, a query's short lists are
-merged, its long ones probed by binary search, and classes that reach the required
-overlap are linked.
+the cluster, every class lists a prefix of its shingles, frequent ones last, long
+enough that two linked classes share several of them; classes whose prefix is shared
+too little are out, and of the others only the shortest lists are kept, the longest
+being skipped as far as the required overlap allows.  Classes that meet in a list
+form clusters.  Then, within blocks of a cluster, a query's short lists are merged by
+a heap that skips, its long ones probed by binary search, and every pair of classes
+that reaches the required overlap is a link.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import release, shuffle_width, staged, table
+from tessera.llm.common import release, remove, shuffle_width, staged, table
 from tessera.llm.components import Forest, connected_components
 from tessera.llm.shingles import mix, sets, signature
 
@@ -28,9 +30,19 @@ from tessera.llm.shingles import mix, sets, signature
 KEYS_PER_TASK = 300_000
 BLOCK_CLASSES = 128
 BLOCK_SHINGLES = 400_000
+#: A cluster's classes join with what is known of the cluster in so many tasks.
+SALTS = 64
+#: Shingles of more than this share of the documents of some window stand last in the order; a window has so many shingles, about.
+FREQUENT = 0.001
+FREQUENT_LEAST = 4
+WINDOW_SHINGLES = 4_000_000
+#: Of these, the most frequent; the others stand among the rest, which changes no result.
+FREQUENT_MOST = 200_000
+#: DivideSkip's weight of merging against probing: L = T / (MU * log2(longest list) + 1).
+MU = 0.01
 _U = np.uint64
-_MERGED = 256
 _FLUSH = 300_000
+_TOP = 1 << 31
 
 
 class Threshold:
@@ -51,6 +63,10 @@ class Threshold:
         """What a set of n shingles shares with any that it links with, and the least size of such."""
         return -(-self.num * n // self.den)
 
+    def overlap_of(self, n: int, m: int) -> int:
+        """What sets of n and m shingles share at least if they link."""
+        return -(-self.num * (n + m) // (self.num + self.den))
+
     def shared(self, n):
         """Shingles that the prefixes of two linked sets share at least, where n is the smaller size."""
         return 1 + n * self.extra // 100
@@ -59,28 +75,73 @@ class Threshold:
         """With o shared shingles, the first k of these are among the first n - o + k of either set."""
         return n - self.least_overlap(n) + self.shared(n)
 
+    def band(self, n):
+        """Bands of sizes: linked sets are in the same or in neighbouring ones."""
+        if self.num == self.den:
+            return 2 * np.asarray(n, dtype=np.int64)  # only equal sizes link
+        return np.floor(np.log(np.asarray(n, dtype=np.float64)) / (1.000001 * math.log(self.den / self.num))).astype(np.int64)
+
 
 def _text_hash() -> Column:
     return F.xxhash64(F.col("text").cast("string")).alias("text_hash")
 
 
+def _frequent(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of a window's sets that enough of them have, and how many have each."""
+    shingle, count = np.unique(np.concatenate(keys), return_counts=True)
+    there = count >= max(FREQUENT_LEAST, math.ceil(FREQUENT * len(keys)))
+    return shingle[there], count[there]
+
+
 def shingle_classes(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, sig (the hash of the set; 0 for an empty one), text_hash, for every row."""
+    """doc_id, n_shingles, sig (the hash of the set; 0 for an empty one), text_hash, frequent = false, for every row.
+
+    Rows with ``frequent`` tell shingles (sig) that many documents of a window of the
+    table have, and how many (n_shingles): what is frequent in the whole table is so
+    in some window, so the whole table is looked at and little of it is passed on.
+    """
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window: list[np.ndarray] = []
+        held, seen = 0, set()
+
+        def told() -> pa.RecordBatch:
+            shingle, count = _frequent(window)
+            none = pa.nulls(len(shingle), pa.int64())
+            return pa.RecordBatch.from_arrays([none, pa.array(count.astype(np.int64)), pa.array(shingle.astype(np.int64)), none, pa.array(np.ones(len(shingle), bool))], names=names)
+
         for whole, k in ((b, k) for b in batches for k in range(0, b.num_rows, 500)):
             batch = whole.slice(k, 500)
             found = sets(batch.column(1).cast(pa.binary()).to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([signature(s) for s in found], pa.int64()), batch.column(2)], names=["doc_id", "n_shingles", "sig", "text_hash"])
+            sigs = [signature(s) for s in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(sigs, pa.int64()), batch.column(2), pa.array(np.zeros(len(found), bool))], names=names)
+            for s, sig in zip(found, sigs, strict=True):
+                if len(s) and sig not in seen:
+                    seen.add(sig)
+                    window.append(s)
+                    held += len(s)
+            if held > WINDOW_SHINGLES:
+                yield told()
+                window, held, seen = [], 0, set()
+        if window:
+            yield told()
+
+    names = ["doc_id", "n_shingles", "sig", "text_hash", "frequent"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash())
+    return rows.mapInArrow(classes, "doc_id long, n_shingles long, sig long, text_hash long, frequent boolean")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash()).mapInArrow(classes, "doc_id long, n_shingles long, sig long, text_hash long")
 
+def frequent_shingles(told: DataFrame) -> np.ndarray:
+    """The most frequent shingles, sorted.  At most FREQUENT_MOST (1.6 MB) come to the driver; they only order lists."""
+    most = told.where("frequent").groupBy("sig").agg(F.sum("n_shingles").alias("n")).orderBy(F.desc("n"), "sig").limit(FREQUENT_MOST)
+    return np.sort(np.array([r["sig"] for r in most.collect()], dtype=np.int64).astype(_U))
 
-# Rows on their way: a key's lowest 48 bits (the task has the highest), a class's lowest 40, its size.
-LISTED = np.dtype([("lo", "<u4"), ("hi", "<u2"), ("id_lo", "<u4"), ("id_hi", "u1"), ("n", "<u4")])
+
+# Rows on their way: a key's lowest 48 bits (the task has the highest), a class, its size.  Lists of frequent
+# shingles go by class, with their shingle's number as key and the size's highest bit set, so that none meets in one task.
+LISTED = np.dtype([("lo", "<u4"), ("hi", "<u2"), ("id", "<i8"), ("n", "<u4")])
 SHARED = np.dtype([("key", "<u8"), ("id", "<i8"), ("n", "<u4"), ("df", "<u4")])
 KEPT = np.dtype([("key", "<u8"), ("id", "<i8"), ("n", "<u4")])
-ID_BITS = 40
 
 
 def _dealt(task: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
@@ -101,8 +162,23 @@ def _top(key: np.ndarray, bits: int) -> np.ndarray:
     return (key >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), dtype=np.int64)
 
 
-def _candidate_edges(docs: DataFrame, width: int, t: Threshold, tasks: int) -> DataFrame:
-    """(a, b): ids of classes that meet in a kept list and whose sizes allow a link, as chains by size."""
+def _by_class(ids: np.ndarray, bits: int) -> np.ndarray:
+    return _top(mix(ids.astype(np.int64).view(_U)), bits)
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows start."""
+    if not len(columns[0]):
+        return np.zeros(0, dtype=bool)
+    return np.concatenate(([True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])))
+
+
+def _candidate_edges(docs: DataFrame, width: int, t: Threshold, tasks: int, frequent: np.ndarray) -> DataFrame:
+    """(a, b): classes that meet in a kept list and whose sizes allow a link, as chains by size.
+
+    Classes that meet in a frequent shingle's list are tied to that list's bands of
+    sizes instead, which are nodes beside the classes: such a list is never gathered.
+    """
     bits = (tasks - 1).bit_length()
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,11 +190,12 @@ def _candidate_edges(docs: DataFrame, width: int, t: Threshold, tasks: int) -> D
         def flush() -> pa.RecordBatch:
             key = np.concatenate(keys)
             each = np.array(ids, dtype=np.int64)
-            who, n = np.repeat(each[:, 0], each[:, 2]), np.repeat(each[:, 1], each[:, 2])
+            who, n, hot = np.repeat(each[:, 0], each[:, 2]), np.repeat(each[:, 1] % _TOP, each[:, 2]), np.repeat(each[:, 1] >= _TOP, each[:, 2])
+            task = np.where(hot, _by_class(who, bits), _top(key, bits))
             rows = np.empty(len(key), dtype=LISTED)
             rows["lo"], rows["hi"] = key & _U(0xFFFFFFFF), (key >> _U(32)) & _U(0xFFFF)
-            rows["id_lo"], rows["id_hi"], rows["n"] = who & 0xFFFFFFFF, who >> 32, n
-            return _dealt(_top(key, bits), rows)
+            rows["id"], rows["n"] = who, n + hot * _TOP
+            return _dealt(task, rows)
 
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
@@ -127,9 +204,17 @@ def _candidate_edges(docs: DataFrame, width: int, t: Threshold, tasks: int) -> D
                     if not len(s) or sig in seen:
                         continue
                     seen.add(sig)
-                    keys.append(mix(s[: t.prefix(len(s))]))
-                    ids.append((sig & ((1 << ID_BITS) - 1), len(s), len(keys[-1])))
-                    size += len(keys[-1])
+                    at = np.searchsorted(frequent, s)
+                    hot = frequent[np.minimum(at, len(frequent) - 1)] == s if len(frequent) else np.zeros(len(s), dtype=bool)
+                    much = t.prefix(len(s))
+                    cold = s[~hot][:much]
+                    keys.append(mix(cold))
+                    ids.append((sig, len(s), len(cold)))
+                    if len(cold) < much:
+                        last = at[hot][: much - len(cold)]
+                        keys.append(last.astype(_U))
+                        ids.append((sig, len(s) + _TOP, len(last)))
+                    size += much
                     if size > _FLUSH:
                         yield flush()
                         keys, ids, size = [], [], 0
@@ -142,38 +227,46 @@ def _candidate_edges(docs: DataFrame, width: int, t: Threshold, tasks: int) -> D
         """Lists of two classes or more, dealt out by class."""
         packed = _gathered(group, LISTED)
         high = _U(group.column("task")[0].as_py() << (64 - bits)) if bits else _U(0)
+        low = packed["hi"].astype(_U) << _U(32) | packed["lo"]
+        hot = packed["n"] >= _TOP
         rows = np.empty(len(packed), dtype=SHARED)
-        rows["key"] = high | ((packed["hi"].astype(_U) << _U(32) | packed["lo"]) & _U((1 << (64 - bits)) - 1))
-        rows["id"], rows["n"] = packed["id_hi"].astype(np.int64) << 32 | packed["id_lo"], packed["n"]
-        rows = rows[np.lexsort((rows["id"], rows["key"]))]
-        same_key = rows["key"][1:] == rows["key"][:-1]
-        rows = rows[np.concatenate(([True], ~(same_key & (rows["id"][1:] == rows["id"][:-1]))))]
-        first = np.flatnonzero(np.concatenate(([True], rows["key"][1:] != rows["key"][:-1])))
+        rows["key"] = np.where(hot, low, high | low & _U((1 << (64 - bits)) - 1))
+        rows["id"], rows["n"], rows["df"] = packed["id"], packed["n"] % _TOP, hot * (_TOP + 1)
+        rows = rows[np.lexsort((rows["id"], rows["key"], hot))]
+        rows = rows[_starts(rows["key"], rows["id"], rows["df"])]
+        first = np.flatnonzero(_starts(rows["key"], rows["df"]))
         length = np.diff(np.append(first, len(rows)))
-        rows["df"] = np.repeat(length, length)
+        rows["df"] = np.maximum(rows["df"], np.minimum(np.repeat(length, length), _TOP))
         rows = rows[rows["df"] > 1]
-        return _table(_dealt(_top(mix(rows["id"].astype(_U)), bits), rows))
+        return _table(_dealt(_by_class(rows["id"], bits), rows))
 
     def rarest(group: pa.Table) -> pa.Table:
         """Of a class's lists, the shortest: all but as many as linked classes share beyond one."""
         rows = _gathered(group, SHARED)
         rows = rows[np.lexsort((rows["key"], rows["df"], rows["id"]))]
-        first = np.flatnonzero(np.concatenate(([True], rows["id"][1:] != rows["id"][:-1])))
+        rows = rows[_starts(rows["key"], rows["id"], rows["df"])]
+        first = np.flatnonzero(_starts(rows["id"]))
         length = np.diff(np.append(first, len(rows)))
         place = np.arange(len(rows)) - np.repeat(first, length)
         need = t.shared(t.least_overlap(rows["n"].astype(np.int64)))
         kept = rows[place <= np.repeat(length, length) - need]
+        hot = kept["df"] > _TOP
         out = np.empty(len(kept), dtype=KEPT)
-        for name in KEPT.names:
-            out[name] = kept[name]
-        return _table(_dealt(_top(out["key"], bits), out))
+        out["key"], out["id"], out["n"] = kept["key"], kept["id"], kept["n"] + hot * _TOP
+        return _table(_dealt(np.where(hot, _by_class(out["id"], bits), _top(out["key"], bits)), out))
 
     def chained(group: pa.Table) -> pa.Table:
         rows = _gathered(group, KEPT)
+        hot = rows["n"] >= _TOP
+        of = rows[hot]
+        band = t.band(of["n"] % _TOP)
+        nodes = [mix(mix(of["key"] + _U(1)) ^ (band + up).astype(np.int64).view(_U)).view(np.int64) for up in (0, 1)]
+        rows = rows[~hot]
         rows = rows[np.lexsort((rows["id"], rows["n"], rows["key"]))]
         a, b = rows[:-1], rows[1:]
         joined = (a["key"] == b["key"]) & (a["id"] != b["id"]) & (t.den * a["n"].astype(np.int64) >= t.num * b["n"].astype(np.int64))
-        pairs = np.unique(np.stack((a["id"][joined], b["id"][joined]), axis=1), axis=0)
+        ends_a, ends_b = np.concatenate((a["id"][joined], of["id"], of["id"])), np.concatenate((b["id"][joined], *nodes))
+        pairs = np.unique(np.stack((ends_a, ends_b), axis=1), axis=0)
         ids, ends = np.unique(pairs, return_inverse=True)
         forest = Forest(len(ids))
         for i, j in ends.reshape(-1, 2).tolist():
@@ -192,133 +285,197 @@ def _table(batch: pa.RecordBatch) -> pa.Table:
     return pa.Table.from_batches([batch])
 
 
-def divide_skip(query: np.ndarray, lists: list[np.ndarray], indexed: list[np.ndarray], t: Threshold, skip) -> Iterator[tuple[int, int]]:
-    """(member, overlap) of the indexed sets that reach the query's threshold.
+def merge_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
+    """(member, lists that hold it) of members that ``least`` or more of the sorted lists hold.
 
-    ``lists`` are the query's inverted lists, one for each of its shingles, sorted.
-    At least T lists hold each answer, so it is in one of all but the T - 1 longest:
-    these are merged, and the long lists are probed for the members found.  ``skip``
-    tells members that need no probing.
+    The heap has each list's next member.  Where its smallest is in too few lists, as
+    many lists as could not reach ``least`` by themselves go on to the next smallest.
+    """
+    heap = [(members[0], i, 0) for i, members in enumerate(lists)]
+    heapq.heapify(heap)
+    while len(heap) >= least:
+        top = heap[0][0]
+        taken = []
+        while heap and heap[0][0] == top:
+            taken.append(heapq.heappop(heap))
+        if len(taken) >= least:
+            yield top, len(taken)
+            aim = top + 1
+        else:
+            while len(taken) < least - 1 and heap:
+                taken.append(heapq.heappop(heap))
+            if not heap:
+                return
+            aim = heap[0][0]
+        for _, i, at in taken:
+            at = bisect_left(lists[i], aim, at)
+            if at < len(lists[i]):
+                heapq.heappush(heap, (lists[i][at], i, at))
+
+
+def divide_skip(n: int, lists: list[list[int]], sizes: list[int], t: Threshold) -> Iterator[int]:
+    """Members whose sets link with a query of ``n`` shingles, whose inverted lists (not empty, sorted) are ``lists``.
+
+    A member that links is in T lists or more.  The L longest are put aside and
+    members that T - L of the others hold are found by merging; the long lists are
+    probed for these by binary search until the required overlap is reached or out
+    of reach.
     """
-    need = t.least_overlap(len(query))
-    order = sorted(range(len(lists)), key=lambda i: len(lists[i]))
-    short, long = order[: len(lists) - need + 1], order[len(lists) - need + 1 :]
-    if sum(len(lists[i]) for i in short) <= _MERGED:
-        merged = np.fromiter(heapq.merge(*(lists[i].tolist() for i in short)), dtype=np.int64)
-    else:  # what the heap would give, by one sort
-        merged = np.sort(np.concatenate([lists[i] for i in short]))
-    members, counts = np.unique(merged, return_counts=True)
-    probes = query[np.sort(np.array(long, dtype=np.int64))]
-    for member, count in zip(members.tolist(), counts.tolist(), strict=True):
-        other = indexed[member]
-        n, m = len(query), len(other)
-        most = count + min(len(probes), m)
-        if skip(member) or t.num * max(n, m) > t.den * min(n, m) or not t.linked(min(most, n, m), n, m):
+    need = t.least_overlap(n)
+    if len(lists) < need:
+        return
+    lists = sorted(lists, key=len)
+    aside = min(need - 1, int(need / (MU * math.log2(len(lists[-1]) + 1) + 1)))
+    long = lists[len(lists) - aside :]
+    for member, count in merge_skip(lists[: len(lists) - aside], need - aside):
+        m = sizes[member]
+        if t.num * max(n, m) > t.den * min(n, m):
             continue
-        # a long list of a shingle holds the member just where the member's set holds the shingle
-        at = np.searchsorted(other, probes)
-        overlap = count + int((other[np.minimum(at, m - 1)] == probes).sum())
-        if t.linked(overlap, n, m):
-            yield member, overlap
+        missing = t.overlap_of(n, m) - count
+        left = aside
+        for members in long:
+            if missing <= 0 or left < missing:
+                break
+            left -= 1
+            at = bisect_left(members, member)
+            missing -= at < len(members) and members[at] == member
+        if missing <= 0:
+            yield member
 
 
 def search_block(indexed: list[np.ndarray], queries: list[np.ndarray] | None, t: Threshold) -> list[tuple[int, int]]:
-    """Links enough to connect all that are linked: (i, j) of indexed i and query j, both counted through.
-
-    Without ``queries``, the indexed sets are searched among themselves.  Pairs that
-    links found earlier connect already are not probed again.
-    """
-    shingle = np.concatenate(indexed)
-    owner = np.repeat(np.arange(len(indexed)), [len(s) for s in indexed])
-    order = np.argsort(shingle, kind="stable")  # lists sorted by member
-    shingle, owner = shingle[order], owner[order]
-    base = 0 if queries is None else len(indexed)
-    forest = Forest(len(indexed) + (0 if queries is None else len(queries)))
+    """All links (i, j) of indexed i and query j, both counted through; without ``queries``, of the indexed with each other."""
+    lists: dict[int, list[int]] = {}
+    sizes = [len(s) for s in indexed]
     links = []
-    for j, query in enumerate(indexed if queries is None else queries):
-        lo, hi = np.searchsorted(shingle, query), np.searchsorted(shingle, query, side="right")
-        lists = [owner[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
-        known = lambda i: (queries is None and i >= j) or forest.root(i) == forest.root(base + j)  # noqa: B023, E731
-        for i, _ in divide_skip(query, lists, indexed, t, known):
-            forest.join(i, base + j)
-            links.append((i, base + j))
+
+    def search(query: list[int], j: int) -> None:
+        links.extend((i, j) for i in divide_skip(len(query), [lists[x] for x in query if x in lists], sizes, t))
+
+    for j, s in enumerate(indexed):
+        shingles = s.tolist()
+        if queries is None:
+            search(shingles, j)
+        for x in shingles:
+            lists.setdefault(x, []).append(j)
+    for j, s in enumerate(queries or []):
+        search(s.tolist(), len(indexed) + j)
     return links
 
 
-def _verified_edges(members: DataFrame, t: Threshold) -> DataFrame:
-    """(a, b): linked classes of ``members`` (cluster, blocks, sig, set), enough to connect all that are linked.
+def _cut_clusters(wanted: DataFrame, t: Threshold) -> DataFrame:
+    """``wanted`` (sig, cluster, n_shingles, ...) with band, blocks, above, below.
 
-    A cluster is cut into its number of blocks by hash, and every pair of its blocks
-    is searched in some task.
+    A cluster that fits a block is one.  A larger one is cut into bands of sizes, and
+    these into blocks; a band is searched in itself and against the next one.  What is
+    known of a cluster meets its classes in SALTS tasks, and only of large clusters.
+    """
+    step = 2.0 if t.num == t.den else None
+    band = (F.lit(step) * F.col("n_shingles") if step else F.floor(F.log("n_shingles") / (1.000001 * math.log(t.den / t.num)))).cast("int")
+    wanted = wanted.withColumn("band", band)
+    bands = wanted.groupBy("cluster", "band").agg(F.count("*").alias("_m"), F.sum("n_shingles").alias("_s"))
+    large = bands.groupBy("cluster").agg(F.sum("_m").alias("_m"), F.sum("_s").alias("_s")).where((F.col("_m") > BLOCK_CLASSES) | (F.col("_s") > BLOCK_SHINGLES)).select("cluster")
+    n = F.greatest(F.ceil(F.col("_m") / BLOCK_CLASSES), F.ceil(F.col("_s") / BLOCK_SHINGLES)).cast("int")
+    cut = bands.join(large, "cluster").select("cluster", "band", n.alias("blocks"))
+    other = lambda by, name: cut.select("cluster", (F.col("band") + by).alias("band"), F.col("blocks").alias(name))
+    cut = cut.join(other(-1, "above"), ["cluster", "band"], "left").join(other(1, "below"), ["cluster", "band"], "left")
+    salted = cut.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = wanted.withColumn("_salt", F.pmod(F.xxhash64("sig"), F.lit(SALTS)).cast("int")).join(salted, ["cluster", "band", "_salt"], "left").drop("_salt")
+    whole = F.col("blocks").isNull()
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    kept = [c for c in wanted.columns if c != "band"]
+    return out.select(*kept, F.when(whole, -1).otherwise(F.col("band")).alias("band"), F.coalesce("blocks", F.lit(1)).alias("blocks"), zero("above"), zero("below"))
+
+
+def _verified_links(members: DataFrame, t: Threshold) -> DataFrame:
+    """(sig, to, n): of ``members`` (cluster, band, blocks, above, below, sig, copies, set), the linked vectors' rows, and links enough to connect them.
+
+    Every pair of classes that may link meets in one task: those of one band in a pair
+    of its blocks, those of neighbouring bands in a block of each.
     """
-    cut = members.withColumn("_i", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    spread = cut.select("cluster", "sig", "set", "_i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_j"))
-    spread = spread.select("cluster", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), (F.col("_i") > F.col("_j")).alias("query"), "sig", "set")
+    own = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    group = lambda cross, band, i, j, query: F.struct(F.lit(cross).alias("cross"), band.alias("band"), i.alias("i"), j.alias("j"), query.alias("query"))
+    inside = F.transform(upto(F.col("blocks")), lambda x: group(0, F.col("band"), F.least(F.col("_i"), x), F.greatest(F.col("_i"), x), F.col("_i") > x))
+    lower = F.transform(upto(F.col("above")), lambda x: group(1, F.col("band"), F.col("_i"), x, F.lit(False)))
+    upper = F.transform(upto(F.col("below")), lambda x: group(1, F.col("band") - 1, x, F.col("_i"), F.lit(True)))
+    spread = members.withColumn("_i", own).select("cluster", "sig", "copies", "set", F.explode(F.concat(inside, lower, upper)).alias("g")).select("cluster", "sig", "copies", "set", "g.*")
+    key = ["cluster", "cross", "band", "i", "j"]
     tasks = 32 * shuffle_width(members.sparkSession)
-    spread = spread.withColumn("task", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(tasks)))
+    spread = spread.withColumn("task", F.pmod(F.xxhash64(*key), F.lit(tasks)))
 
     def searched(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("cluster", "ascending"), ("i", "ascending"), ("j", "ascending"), ("query", "ascending"), ("sig", "ascending")])
-        sig = group.column("sig").to_numpy()
-        query = group.column("query").to_numpy()
+        group = group.sort_by([(c, "ascending") for c in (*key, "query", "sig")])
+        sig, copies, query = (group.column(c).to_numpy() for c in ("sig", "copies", "query"))
         all_sets = [np.frombuffer(b, dtype=_U) for b in group.column("set").to_pylist()]
-        keys = np.stack([group.column(c).to_numpy().astype(np.int64) for c in ("cluster", "i", "j")])
-        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), len(sig)]
-        a, b = [], []
+        keys = [group.column(c).to_numpy().astype(np.int64) for c in key]
+        cuts = [*np.flatnonzero(_starts(*keys)).tolist(), len(sig)]
+        links: list[tuple[int, int]] = []
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             mid = lo + int((~query[lo:hi]).sum())
-            own = keys[1, lo] == keys[2, lo]
+            own = not keys[1][lo] and keys[3][lo] == keys[4][lo]
             if mid == lo or (mid == hi and not own):
                 continue
-            for x, y in search_block(all_sets[lo:mid], None if own else all_sets[mid:hi], t):
-                a.append(sig[lo + x])
-                b.append(sig[lo + y])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            links += ((lo + x, lo + y) for x, y in search_block(all_sets[lo:mid], None if own else all_sets[mid:hi], t))
+        ends = np.array(links, dtype=np.int64).reshape(-1, 2)
+        ids, at = np.unique(sig[ends], return_inverse=True)
+        at = at.reshape(-1, 2)
+        n = np.zeros(len(ids), dtype=np.int64)
+        np.add.at(n, at[:, 0], copies[ends[:, 1]])
+        np.add.at(n, at[:, 1], copies[ends[:, 0]])
+        forest = Forest(len(ids))
+        for i, j in at.tolist():
+            forest.join(i, j)
+        roots = np.array([forest.root(i) for i in range(len(ids))], dtype=np.int64)
+        return pa.table({"sig": pa.array(ids, pa.int64()), "to": pa.array(ids[roots] if len(ids) else ids, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    return spread.groupBy("task").applyInArrow(searched, "a long, b long")
+    return spread.groupBy("task").applyInArrow(searched, "sig long, to long, n long")
 
 
 def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, n_links.
 
     Sets of word ``width``-grams link when their Jaccard similarity is num/den or
-    more; component_id is the smallest doc_id that links reach.  Null and wordless
-    texts have empty sets, which link with nothing.  Rows of one doc_id count each;
-    among equal ones nothing differs.  ``docs`` is read three times, and its rows
-    without a doc_id once more.
+    more; component_id is the smallest doc_id that links reach, n_links the number of
+    other rows linked directly.  Null and wordless texts have empty sets, which link
+    with nothing.  Rows of one doc_id count each, and a null doc_id is no
+    component_id where the group has another.  No rows give no rows, and extra
+    columns are left out.  ``docs`` is read three times, and its rows without a
+    doc_id once more.
     """
-    return _grouped_rows(docs, width, num, den).select("doc_id", "n_shingles", "component_id")
+    return _grouped_rows(docs, width, num, den).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def _grouped_rows(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Rows of :func:`jaccard_components` with text_hash and keeper, the group's first row (no_id, doc_id, text_hash); null for empty sets."""
     t = Threshold(num, den)
     spark = docs.sparkSession
-    classes = staged(shingle_classes(docs, width), "classes")
+    told = staged(shingle_classes(docs, width), "classes")
+    classes = told.where("not frequent").drop("frequent")
     total = classes.where("n_shingles > 0").agg(F.sum("n_shingles")).first()[0] or 0
     tasks = max(shuffle_width(spark), int(total * 1.5 * (den - num) / den / KEYS_PER_TASK))
-    clusters = staged(connected_components(_candidate_edges(docs, width, t, tasks)), "clusters")
+    clusters = staged(connected_components(_candidate_edges(docs, width, t, tasks, frequent_shingles(told))), "clusters")
     release(spark)
-    firsts = classes.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("_doc"), F.min("n_shingles").alias("n_shingles"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("_keep"))
-    of = F.col("sig").bitwiseAND((1 << ID_BITS) - 1)
-    wanted = firsts.join(clusters, of == F.col("node")).select("_doc", "sig", F.col("root").alias("cluster"), "n_shingles")
-    wanted = staged(wanted, "wanted")
-    per = wanted.groupBy("cluster").agg(F.count("*").alias("_m"), F.sum("n_shingles").alias("_s"))
-    blocks = F.greatest(F.ceil(F.col("_m") / F.greatest(F.lit(BLOCK_CLASSES), F.col("_m") / 24)), F.ceil(F.col("_s") / BLOCK_SHINGLES))
-    wanted = wanted.join(per.select("cluster", blocks.cast("int").alias("blocks")), "cluster")  # before there are sets to move
+    firsts = classes.where("n_shingles > 0").groupBy("sig").agg(
+        F.min("doc_id").alias("_doc"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("_keep")
+    )
+    wanted = firsts.join(clusters, F.col("sig") == F.col("node")).select("_doc", "sig", F.col("root").alias("cluster"), "n_shingles", "copies")
+    wanted = _cut_clusters(staged(wanted, "wanted"), t).drop("n_shingles")  # before there are sets to move
+    carried = ["sig", "cluster", "band", "blocks", "above", "below", "copies"]
+    schema = "sig long, cluster long, band int, blocks int, above int, below int, copies long, set binary"
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                found = sets(part.column(3).cast(pa.binary()).to_pylist(), width)
+                found = sets(part.column(len(carried)).cast(pa.binary()).to_pylist(), width)
                 right = [i for i, (s, sig) in enumerate(zip(found, part.column(0).to_pylist(), strict=True)) if signature(s) == sig]
                 rows = part.take(pa.array(right, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array([found[i].tobytes() for i in right], pa.binary())], names=["sig", "cluster", "blocks", "set"])
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(carried)], pa.array([found[i].tobytes() for i in right], pa.binary())], names=[*carried, "set"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text"))
     # always a merge join: what is wanted grows with the documents, so that it is small tells little
-    members = texts.join(wanted.hint("merge"), "_doc").select("sig", "cluster", "blocks", "text").mapInArrow(with_sets, "sig long, cluster long, blocks int, set binary")
+    members = texts.join(wanted.hint("merge"), "_doc").select(*carried, "text").mapInArrow(with_sets, schema)
 
     def own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -328,16 +485,19 @@ def _grouped_rows(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
     # classes that no row with a doc_id is in are found by their signature
     nameless = docs.where(F.col("doc_id").cast("long").isNull()).select(F.col("text").cast("string").alias("text")).mapInArrow(own_sets, "sig long, set binary")
-    nameless = nameless.join(wanted.where(F.col("_doc").isNull()), "sig").select("sig", "cluster", "blocks", "set")
+    nameless = nameless.join(wanted.where(F.col("_doc").isNull()), "sig").select(*carried, "set")
     members = staged(members.unionByName(nameless).dropDuplicates(["sig"]), "members")
     release(spark)
-    roots = connected_components(_verified_edges(members, t))
-    labelled = firsts.select("sig", F.col("_doc").alias("_first"), "_keep").join(roots.withColumnRenamed("node", "sig"), "sig", "left")
-    labelled = staged(labelled.select("sig", "_first", "_keep", F.coalesce("root", "sig").alias("root")), "labelled")
+    links = staged(_verified_links(members, t), "links")
+    remove(spark, members.staged_path)
+    roots = connected_components(links.select(F.col("sig").alias("a"), F.col("to").alias("b")))
+    counts = links.groupBy("sig").agg(F.sum("n").alias("n"))
+    labelled = firsts.select("sig", F.col("_doc").alias("_first"), "_keep", "copies").join(roots.withColumnRenamed("node", "sig"), "sig", "left").join(counts, "sig", "left")
+    labelled = staged(labelled.select("sig", "_first", "_keep", F.coalesce("root", "sig").alias("root"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")), "labelled")
     least = labelled.groupBy("root").agg(F.min("_first").alias("component_id"), F.min("_keep").alias("keeper"))
-    final = labelled.join(least, "root").select("sig", "component_id", "keeper")
+    final = labelled.join(least, "root").select("sig", "component_id", "keeper", "n_links")
     out = classes.join(final, (classes["sig"] == final["sig"]) & (classes["n_shingles"] > 0), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", "keeper")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "text_hash", "keeper")
 
 
 def one_of_each_group(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -353,4 +513,5 @@ def one_of_each_group(docs: DataFrame, width: int = 5, num: int = 80, den: int =
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links of every document, for 3 words and a similarity of 0.9."""
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
