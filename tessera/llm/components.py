@@ -21,10 +21,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     that of a path, makes rounds many: about log2 of the nodes.  Each round's tables
     are written to the shared folder.  Null ends are left out; loops give single nodes.
     """
-    hashed = edges.where("a is not null and b is not null").select(F.xxhash64(F.col("a").cast("long")).alias("a"), F.xxhash64(F.col("b").cast("long")).alias("b"))
-    names = edges.where("a is not null and b is not null").select(F.explode(F.array(F.col("a").cast("long"), F.col("b").cast("long"))).alias("node")).distinct()
-    left = staged(hashed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    where = staged(names.withColumn("at", F.xxhash64("node")), "nodes")
+    whole = staged(edges.where("a is not null and b is not null").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).distinct(), "edges")
+    hashed = whole.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+    left = hashed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left.staged_path = whole.staged_path
+    where = staged(whole.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("at", F.xxhash64("node")), "nodes")
     while True:
         pairs = left.where("a < b")
         if pairs.isEmpty():
