@@ -21,14 +21,19 @@ from pyspark.sql import types as T
 from tessera.llm.common import shuffle_width, staged, table
 from tessera.llm.components import Forest, connected_components
 
-TABLES = 8
 LEAST_COSINE = 0.93
-#: Members of a bucket beyond which it is cut into blocks.
-BLOCK_ROWS = 512
-TASK_ROWS = 20_000
+#: Members of a bucket's block; a larger bucket is cut into blocks of about so many, however many these are.
+BLOCK_ROWS = 1024
+#: Bytes of vectors that a task reads, about.
+TASK_BYTES = 16_000_000
 _SMALL = 48
 
 
+def tables_for(dim: int) -> int:
+    """Tables that find more than 99.5 % of pairs at LEAST_COSINE: more for longer vectors, whose buckets are finer."""
+    return 8 + 2 * max(0, (max(1, dim) - 1).bit_length() - 7)
+
+
 @lru_cache(maxsize=16)
 def _signs(dim: int, tables: int, seed: int) -> np.ndarray:
     wide = 1 << max(1, (dim - 1).bit_length())
@@ -51,8 +56,9 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def bucket_codes(x: np.ndarray, tables: int, seed: int) -> np.ndarray:
+def bucket_codes(x: np.ndarray, tables: int | None, seed: int) -> np.ndarray:
     """Of unit vectors: (vectors, tables, 4), the home bucket first, then those probed."""
+    tables = tables or tables_for(x.shape[1])
     signs = _signs(x.shape[1], tables, seed)
     wide = signs.shape[-1]
     padded = np.pad(x, ((0, 0), (0, wide - x.shape[1])))
@@ -77,31 +83,36 @@ def comparable(embedding: Column, label: Column) -> Column:
     return F.coalesce(label.isNotNull() & finite & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
-def _coded(classes: DataFrame, tables: int, seed: int, vectors: bool, wire: str) -> DataFrame:
-    fields = [("label", T.LongType()), ("dim", T.IntegerType()), ("table", T.IntegerType()), ("bucket", T.LongType()), ("home", T.BooleanType())]
-    fields += [("sig", T.LongType()), ("copies", T.LongType()), ("vector", T.BinaryType())] if vectors else []
-    schema = T.StructType([T.StructField(*f) for f in fields])
+def _coded(classes: DataFrame, tables: int | None, seed: int) -> DataFrame:
+    """(sig, label, dim, table, bucket, home) of every class: its home bucket and three probed ones in each table."""
+    schema = T.StructType([T.StructField(n, k) for n, k in (("sig", T.LongType()), ("label", T.LongType()), ("dim", T.IntegerType()), ("table", T.IntegerType()), ("bucket", T.LongType()), ("home", T.BooleanType()))])
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
                 batch = whole.slice(k, 1000)
-                rows = batch.column(3).to_pylist()
+                rows = batch.column(2).to_pylist()
                 dims = np.array([len(r) for r in rows])
                 for dim in np.unique(dims):
                     at = np.flatnonzero(dims == dim)
-                    x = np.array([rows[i] for i in at], dtype=np.float64)
-                    codes = bucket_codes(unit(x), tables, seed)
-                    n = 4 * tables
-                    every = np.repeat(at, n)
-                    columns = [batch.column(0).take(pa.array(every)), pa.array(np.full(len(every), dim, np.int32)), pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), 4), len(at)))]
-                    columns += [pa.array(codes.reshape(-1)), pa.array(np.tile(np.arange(4) == 0, tables * len(at)))]
-                    if vectors:
-                        raw = pa.array([v.tobytes() for v in x.astype(wire)], pa.binary())
-                        columns += [batch.column(1).take(pa.array(every)), batch.column(2).take(pa.array(every)), raw.take(pa.array(np.repeat(np.arange(len(at)), n)))]
-                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                    codes = bucket_codes(unit(np.array([rows[i] for i in at], dtype=np.float64)), tables, seed)
+                    n = codes.shape[1]
+                    every = pa.array(np.repeat(at, 4 * n))
+                    columns = [batch.column(0).take(every), batch.column(1).take(every), pa.array(np.full(len(every), dim, np.int32)), pa.array(np.tile(np.repeat(np.arange(n, dtype=np.int32), 4), len(at)))]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(codes.reshape(-1)), pa.array(np.tile(np.arange(4) == 0, n * len(at)))], names=schema.names)
+
+    return classes.select("sig", "label", "embedding").mapInArrow(coded, schema)
+
+
+def _packed(classes: DataFrame, wire: str) -> DataFrame:
+    """(sig, copies, vector) of every class, the vector as bytes."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [np.array(v, dtype=wire).tobytes() for v in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary())], names=["sig", "copies", "vector"])
 
-    return classes.select("label", "sig", "copies", "embedding").mapInArrow(coded, schema)
+    return classes.select("sig", "copies", "embedding").mapInArrow(packed, "sig long, copies long, vector binary")
 
 
 def _candidate_pairs(group: np.ndarray, home: np.ndarray, cross: np.ndarray, x: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -130,21 +141,26 @@ def _candidate_pairs(group: np.ndarray, home: np.ndarray, cross: np.ndarray, x:
                 yield a[keep], b[keep]
 
 
-def linked(classes: DataFrame, least: float = LEAST_COSINE, tables: int = TABLES, seed: int = 10, wire: str = "<f8") -> DataFrame:
+def linked(classes: DataFrame, least: float = LEAST_COSINE, tables: int | None = None, seed: int = 10, wire: str = "<f8") -> DataFrame:
     """(sig, to, n): partial counts of linked vectors, and links enough to connect all that are linked.
 
-    ``classes``: label (long), sig, copies, embedding.  A bucket with many members is
-    cut into blocks, and every pair of its blocks is compared in some task.
+    ``classes``: label (long), sig, copies, embedding.  Vectors are hashed once; codes
+    alone tell which buckets hold a pair, one of it at home, and only to these do
+    vectors go.  A bucket with many members is cut into blocks, and every pair of its
+    blocks is compared in some task.
     """
     spark = classes.sparkSession
     key = ["label", "dim", "table", "bucket"]
-    counted = _coded(classes, tables, seed, False, wire).groupBy(*key).agg(F.count("*").alias("_m")).where(F.col("_m") > BLOCK_ROWS)
-    counted = counted.withColumn("_k", F.ceil(F.col("_m") / F.greatest(F.lit(BLOCK_ROWS / 2), F.col("_m") / 24)).cast("int")).drop("_m")
-    rows = _coded(classes, tables, seed, True, wire).join(staged(counted, "hot"), key, "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
+    codes = staged(_coded(classes, tables, seed), "codes")
+    counted = codes.groupBy(*key).agg(F.count("*").alias("_m"), F.max("home").alias("_home")).where((F.col("_m") > 1) & F.col("_home"))
+    counted = counted.select(*key, F.ceil(F.col("_m") / BLOCK_ROWS).cast("int").alias("_k"))
+    rows = codes.join(counted, key)
     rows = rows.withColumn("_i", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("_k")).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     rows = rows.withColumn("i", F.least("_i", "_j")).withColumn("j", F.greatest("_i", "_j")).withColumn("cross", F.when(F.col("i") == F.col("j"), -1).otherwise(F.col("_i")))
-    tasks = max(4 * shuffle_width(spark), classes.count() * 4 * tables // TASK_ROWS)
-    rows = rows.withColumn("task", F.pmod(F.xxhash64(*key, "i", "j"), F.lit(tasks)))
+    rows = staged(rows.drop("_k", "_i", "_j"), "met")
+    size = rows.agg(F.sum(F.col("dim").cast("long") * int(wire[-1]))).first()[0] or 0
+    tasks = max(4 * shuffle_width(spark), size // TASK_BYTES)
+    rows = rows.join(_packed(classes, wire), "sig").withColumn("task", F.pmod(F.xxhash64(*key, "i", "j"), F.lit(tasks)))
 
     def compared(part: pa.Table) -> pa.Table:
         columns = [part.column(c).to_numpy().astype(np.int64) for c in (*key, "i", "j")]
@@ -204,20 +220,23 @@ def linked(classes: DataFrame, least: float = LEAST_COSINE, tables: int = TABLES
             out_sig, out_n, out_to = ids, n, ids[[forest.root(i) for i in range(len(ids))]]
         return pa.table({"sig": pa.array(out_sig, pa.int64()), "to": pa.array(out_to, pa.int64()), "n": pa.array(out_n, pa.int64())})
 
-    return rows.drop("_k", "_i", "_j").groupBy("task").applyInArrow(compared, "sig long, to long, n long")
+    return rows.groupBy("task").applyInArrow(compared, "sig long, to long, n long")
 
 
-def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, tables: int = TABLES, seed: int = 10) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, tables: int | None = None, seed: int = 10) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, label, embedding): vec_id, n_links, component_id, kept.
 
-    Vectors of one label and length link at a cosine of ``least`` or more.  A null
-    label or vector, one of zeros, and one with null or non-finite components link
-    with nothing.  Equal vectors are one class, compared once and counted as often
-    as they occur.  Of pairs at 0.93, the tables miss about 1 in 5000, of closer ones fewer.
+    Vectors of one label (of any type; labels are told apart by a 64-bit hash) and
+    length link at a cosine of ``least`` or more.  A null label or vector, one of
+    zeros, and one with null or non-finite components link with nothing.  Equal
+    vectors are one class, compared once and counted as often as they occur.  Of pairs
+    at 0.93, ``tables_for`` misses less than 1 in 200, of closer ones fewer; ``tables``
+    sets another number.  Extra columns are left out; no rows give no rows.
     """
     kind = vectors.schema["embedding"].dataType
     wire = "<f4" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "<f8"
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding")
+    label = F.col("label")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(label.isNotNull(), F.xxhash64(label)).alias("label"), "embedding")
     rows = rows.withColumn("ok", comparable(F.col("embedding"), F.col("label")))
     rows = rows.withColumn("sig", F.when(F.col("ok"), F.xxhash64("label", "embedding")))
     classes = rows.where("ok").groupBy("sig").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count("*").alias("copies"), F.min("vec_id").alias("first_id"))
