@@ -1,11 +1,15 @@
 """Surrogates for private data: keyed, type-consistent, distinct and coreferent.
 
 Mentions of e-mail addresses, telephone and card numbers, IP addresses, account
-numbers and titled names are found; what a mention stands for is its entity
-(digits without separators, an address in lower case, one word of a name).  Each
-entity of the corpus gets one replacement of its kind, drawn by a keyed hash, with
-rounds of checks until no two share one and none is itself an entity; each mention
-is then written in its own format.
+numbers and titled names are found, and in a document with titled names their words
+again wherever they stand without a title; what a mention stands for is its entity
+(digits without separators, an address in lower case, one word of a name, given
+names with the gender that the document tells).  Each entity of the corpus gets one
+replacement of its kind.  Numbers and addresses of a fixed format are shifted along
+a keyed permutation of all that have this format, so that no two meet; words are
+drawn by a keyed hash from spaces that grow with each attempt.  A few checks see to
+it that no replacement is itself an entity; each mention is then written in its own
+format.
 """
 
 from __future__ import annotations
@@ -13,13 +17,15 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
-from collections.abc import Iterator
+import secrets
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import remove, staged, table
+from tessera.llm.common import staged, table
 
 # Titles by the gender they tell, and given names by script and gender.
 TITLES = {
@@ -39,7 +45,7 @@ _GENDER = {name.casefold(): gender for (_, gender), names in GIVEN.items() for n
 _NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]{1,40}"
 _TITLE = "|".join(sorted({re.escape(x) for titles in TITLES.values() for t in titles for x in (t, t.upper())}, key=lambda t: (-len(t), t)))
 KINDS = {
-    "email": re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63})+"),
+    "email": re.compile(r"(?<![\w.%+-])[\w.%+-]++@[\w-]{1,63}(?:\.[\w-]{1,63})+"),
     "account": re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
     "card": re.compile(r"(?<![\w.+-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?!\w|[.-][0-9])"),
     "ip": re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\w|\.[0-9])"),
@@ -50,6 +56,8 @@ KINDS = {
 #: Holds for every text in which a mention can be found.
 MAY_HOLD = f"[@0-9]|(?=[{''.join(sorted({t[0] for t in _TITLE.split('|')}))}])(?:{_TITLE})"  # one look at a letter rules most places out
 
+#: The setting of the session that names the key.
+KEY_SETTING = "spark.tessera.surrogates.key"
 _MENTION = "array<struct<start:int,end:int,kind:string,entity:string>>"
 
 
@@ -63,19 +71,54 @@ def _plain(kind: str, text: str) -> str:
     return re.sub(r"[^0-9A-Z]", "", text)
 
 
+#: What may follow a name's word in its mention and isn't part of it.
+_OWN = re.compile("['’]s$", re.IGNORECASE)
+_WORD = re.compile(rf"(?<!\w){_NAME}(?![\w])")
+
+
+def _name_words(m: re.Match) -> list[tuple[int, int, str]]:
+    """Start, end and text of the words of a titled name, without a possessive's ending."""
+    return [(m.start(3) + w.start(), m.start(3) + w.start() + len(bare), bare) for w in re.finditer(r"\S+", m[3]) if len(bare := _OWN.sub("", w[0])) > 1]
+
+
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, entity), in order; where finds overlap, the first holds, then the longest."""
-    found = []
+    """(start, end, kind, entity), in order; where finds overlap, the first holds, then the longest.
+
+    A given name's gender is that of a title before it anywhere in the text, else of
+    the list of given names; names that only titles without a gender stand before
+    have none.  Words of titled names are found again without a title, capitalised as
+    they were or in capitals throughout.  A word that is both keeps to its first use.
+    """
+    found, known, titled = [], {}, []
     for kind, pattern in KINDS.items():
         for m in pattern.finditer(text):
             if kind != "name":
                 found.append((m.start(), -m.end(), [(m.start(), m.end(), kind)]))
                 continue
             gender = next(g for g, titles in TITLES.items() if m[1].casefold() in map(str.casefold, titles))
-            words = list(re.finditer(r"\S+", m[3]))
-            gender = gender or (_GENDER.get(words[0][0].casefold(), "") if len(words) > 1 else "")
-            parts = [(m.start(3) + w.start(), m.start(3) + w.end(), f"given-{gender}" if w is not words[-1] else "family") for w in words]
-            found.append((m.start(), -m.end(), parts))
+            words = _name_words(m)
+            if not words:
+                continue
+            titled.append((m.start(), -m.end(), words))
+            for _, _, word in words[:-1]:
+                if gender or word.casefold() not in known:
+                    known.setdefault(word.casefold(), gender)
+                    known[word.casefold()] = known[word.casefold()] or gender
+    if titled:
+        roles: dict[str, str] = {}  # of each word, as it stands or in capitals
+        for start, end, words in titled:
+            parts = []
+            for a, b, word in words:
+                plain = word.casefold()
+                kind = "family" if a == words[-1][0] else f"given-{known[plain] or _GENDER.get(plain, '')}"
+                parts.append((a, b, kind))
+                for form in (word, word.upper(), word.capitalize()):
+                    roles.setdefault(form, kind)
+            found.append((start, end, parts))
+        for m in _WORD.finditer(text):
+            word = _OWN.sub("", m[0])
+            if word in roles:
+                found.append((m.start(), -m.start() - len(word), [(m.start(), m.start() + len(word), roles[word])]))
     out, at = [], 0
     for start, end, parts in sorted(found):
         if start >= at:
@@ -110,39 +153,126 @@ class Draw:
         for first, last in ("az", "AZ", "09", "ая", "АЯ", "αω", "ΑΩ"):
             if first <= c <= last:
                 out = chr(ord(first) + self.below(ord(last) - ord(first) + 1))
-                return "σ" if out == "ς" else "Σ" if out == "΢" else out
+                return "σ" if out == "ς" else "Σ" if out == "\u03a2" else out
         return self._like("a") if c.isalpha() else c
 
 
-def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
-    """The replacement of an entity, in the same plain form, at its n-th attempt."""
+def _rounds(key: bytes, space: str, half: int, x: int, order: range) -> int:
+    left, right = x >> half, x & ((1 << half) - 1)
+    for i in order:
+        if order.step < 0:
+            left, right = right, left
+        mixed = hashlib.blake2b(f"{space}\x1f{i}\x1f{right}".encode(), key=hashlib.sha256(key).digest(), digest_size=16).digest()
+        left ^= int.from_bytes(mixed, "big") & ((1 << half) - 1)
+        if order.step > 0:
+            left, right = right, left
+    return left << half | right
+
+
+def permuted(key: bytes, space: str, n: int, x: int, back: bool = False) -> int:
+    """A keyed permutation of 0..n-1, or its inverse: a Feistel network, walked until it is back in the range."""
+    half = max(1, ((n - 1).bit_length() + 1) // 2)
+    while True:
+        x = _rounds(key, space, half, x, range(7, -1, -1) if back else range(8))
+        if x < n:
+            return x
+
+
+def shifted(key: bytes, space: str, n: int, x: int, by: int) -> int:
+    """``x`` moved on along the permutation's order: for each ``by`` not divisible by ``n`` a permutation that moves all."""
+    return permuted(key, space, n, (permuted(key, space, n, x) + by) % n, True)
+
+
+def _ip_class(ip: str) -> str:
+    """The part of an address that its surrogate keeps, or the class of addresses that it stays in."""
+    a, b, *_ = map(int, ip.split("."))
+    if a in (10, 127):
+        return f"{a}."
+    if (a, b) == (192, 168) or (a == 172 and 16 <= b < 32) or (a, b) == (169, 254):
+        return f"{a}.{b}."
+    return "public" if 1 <= a <= 223 else "reserved"
+
+
+def _pattern_number(text: str) -> tuple[int, int]:
+    """The number of a text of capitals and digits among those of its pattern, and how many there are."""
+    x, n = 0, 1
+    for c in text:
+        size, at = (10, ord(c) - 48) if c.isdigit() else (26, ord(c) - 65)
+        x, n = x * size + at, n * size
+    return x, n
+
+
+def _pattern_text(pattern: str, x: int) -> str:
+    out = []
+    for c in reversed(pattern):
+        size, first = (10, 48) if c.isdigit() else (26, 65)
+        x, at = divmod(x, size)
+        out.append(chr(first + at))
+    return "".join(reversed(out))
+
+
+def _kept(kind: str, entity: str) -> int:
+    """Leading signs that a number keeps: a card's or telephone number's first digit, an account's country."""
+    return {"card": 1, "phone": 1, "account": 2}.get(kind, 0)
+
+
+def fixed_surrogate(key: bytes, kind: str, entity: str, attempt: int) -> tuple[str, str]:
+    """(space, replacement) for kinds of fixed formats; for each attempt, no two entities have the same."""
+    by = attempt + 1
+    if kind == "ip":
+        cls = _ip_class(entity)
+        head = "" if cls in ("public", "reserved") else cls
+        tail = [int(x) for x in entity.split(".")][head.count(".") :]
+        x, n = int.from_bytes(bytes(tail), "big"), 256 ** len(tail)
+        while True:
+            x = shifted(key, f"ip {cls}", n, x, by)
+            out = head + ".".join(map(str, x.to_bytes(len(tail), "big")))
+            if _ip_class(out) == cls:
+                return f"ip {cls}", out
+    keep = _kept(kind, entity)
+    head, body = entity[:keep], entity[keep:]
+    shape = "".join("9" if c.isdigit() else "A" for c in body)
+    if kind != "card":
+        space = f"{kind} {head} {shape}"
+        x, n = _pattern_number(body)
+        return space, head + _pattern_text(shape, shifted(key, space, n, x, by))
+    # the last digit checks the others: it stays as far from the right one as it was
+    right = lambda digits: next(c for c in "0123456789" if _luhn(digits + c) == 0)
+    off = (int(entity[-1]) - int(right(entity[:-1]))) % 10
+    space = f"card {head} {shape} {off}"
+    x, n = _pattern_number(body[:-1])
+    digits = head + _pattern_text(shape[:-1], shifted(key, space, n, x, by))
+    return space, digits + str((int(right(digits)) + off) % 10)
+
+
+#: Kinds whose replacements are drawn from spaces that grow.
+OPEN = ("email", "given", "family")
+ATTEMPTS = 7
+
+
+def open_surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
+    """The replacement of an address or a name's word, in the same plain form, at its n-th attempt."""
     draw = Draw(key, kind, entity, attempt)
     script = "cyrillic" if re.search("[а-яё]", entity) else "latin"
+    word = lambda n: "".join(_SYLLABLES[script][draw.below(len(_SYLLABLES[script]))] for _ in range(n))
     if kind == "email":
         local, _, domain = entity.partition("@")
         *labels, top = domain.split(".")
-        return f"{draw.like(local)}{'' if attempt < 8 else attempt}@{'.'.join([draw.like(x) for x in labels] + [top])}"
-    if kind == "ip":
-        parts = [int(x) for x in entity.split(".")]
-        private = parts[0] == 10 or parts[:2] == [192, 168]
-        fresh = parts[: 2 if parts[0] == 192 else 1] if private else [1 + draw.below(223)]
-        return ".".join(map(str, fresh + [1 + draw.below(254) for _ in range(4 - len(fresh))]))
-    if kind == "card":
-        out = entity[0] + draw.like(entity[1:])
-        return next(c for d in "0123456789" if _luhn(c := out[:-1] + d) == 0) if _luhn(entity) == 0 else out
-    if kind == "phone":
-        return entity[:1] + draw.like(entity[1:])
-    if kind == "account":
-        return entity[:2] + draw.like(entity[2:])
+        more = "".join(str(draw.below(10)) for _ in range(4 * attempt))
+        return f"{draw.like(local)}{more}@{'.'.join([draw.like(x) for x in labels] + [top])}"
     if kind.startswith("given"):
-        gender = kind[6:] or "mf"[draw.below(2)]
-        pool = GIVEN[script, gender]
-        names = [pool[draw.below(len(pool))] for _ in range(1 + attempt // 8)]
-        return "-".join(names).casefold()
-    if kind == "family":
-        word = "".join(_SYLLABLES[script][draw.below(len(_SYLLABLES[script]))] for _ in range(2 + attempt // 4))
-        return word + {"ва": "ова", "на": "ина"}.get(entity[-2:], "ов") if script == "cyrillic" else word
-    return draw.like(entity)
+        pool = GIVEN[script, kind[6:] or "mf"[draw.below(2)]]
+        names = [pool[draw.below(len(pool))] for _ in range(min(attempt, 2) + 1)]
+        return "-".join([*names, *([word(3 * attempt - 3)] if attempt > 1 else [])]).casefold()
+    out = word(2 + 3 * attempt)
+    return out + {"ва": "ова", "на": "ина"}.get(entity[-2:], "ов") if script == "cyrillic" else out
+
+
+def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> tuple[str, str]:
+    """(space, replacement): entities of different spaces never have the same; of an open kind, the space is empty."""
+    if kind.startswith(OPEN):
+        return "", open_surrogate(key, kind, entity, attempt)
+    return fixed_surrogate(key, kind, entity, attempt)
 
 
 def written(mention: str, kind: str, plain: str) -> str:
@@ -169,42 +299,60 @@ def find_mentions(docs: DataFrame) -> DataFrame:
 
 
 def assign(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, entity, plain): a replacement for each distinct entity, no two of a kind alike, none an entity.
-
-    Where replacements meet, the smallest entity keeps hers and the others draw
-    again; each round's tables are written to the shared folder.
+    """(kind, entity, plain): a replacement for each distinct entity, no two of a kind alike.
+
+    At each of ATTEMPTS, entities whose replacement is some entity of the corpus, or
+    one that is held already or that a smaller entity draws, go on to the next; only
+    these are read again.  Replacements of fixed formats never meet at one attempt,
+    and the spaces of names and addresses grow by some thousands each time, so few
+    are left at the second.  A space of fixed format that is too full, with entities
+    left after the last, has too few values that are not entities: all its entities
+    then take the first attempt's, which are distinct and none its own entity's, though
+    another's.  Names and addresses left after the last raise an error.
     """
 
-    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kind, entity, attempt = (c.to_pylist() for c in batch.columns)
-            plain = [surrogate(key, *x) for x in zip(kind, entity, attempt, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(plain, pa.string())], names=["kind", "entity", "attempt", "plain"])
+    def drawn(attempt: int) -> Callable:
+        def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                made = [surrogate(key, k, e, attempt) for k, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.string())], names=["kind", "entity", "space", "plain"])
 
-    schema = "kind string, entity string, attempt int, plain string"
+        return draw
+
+    schema = "kind string, entity string, space string, plain string"
     family = F.substring_index("kind", "-", 1)  # given names of either gender share their space
     entities = staged(entities.select("kind", "entity").distinct(), "entities")
-    now = staged(entities.withColumn("attempt", F.lit(0)).mapInArrow(drawn, schema), "drawn")
-    real = entities.select(family.alias("_family"), F.col("entity").alias("plain")).distinct().withColumn("_real", F.lit(True))
-    while True:
-        named = now.withColumn("_family", family)
-        first = named.groupBy("_family", "plain").agg(F.min(F.struct("attempt", "kind", "entity")).alias("_first"))
-        judged = named.join(first, ["_family", "plain"]).join(real, ["_family", "plain"], "left")
-        held = F.col("_real").isNull() & (F.col("_first") == F.struct("attempt", "kind", "entity"))
-        judged = staged(judged.select("kind", "entity", F.when(held, F.col("attempt")).otherwise(F.col("attempt") + 1).alias("attempt"), "plain", held.alias("held")), "judged")
-        if judged.where("not held").isEmpty():
-            return now.select("kind", "entity", "plain")
-        again = judged.where("not held").select("kind", "entity", "attempt").mapInArrow(drawn, schema)
-        kept = judged.where("held").select("kind", "entity", "attempt", "plain")
-        old, now = now, staged(kept.unionByName(again), "drawn")
-        remove(old.sparkSession, old.staged_path)
+    taken = entities.select(family.alias("_family"), F.col("entity").alias("plain")).distinct()
+    left, held = entities, []
+    for attempt in range(ATTEMPTS):
+        now = staged(left.mapInArrow(drawn(attempt), schema).withColumn("_family", family), "drawn")
+        for other in (taken, *(h.select("_family", "plain") for h in held)):
+            now = now.join(other.withColumn("_t", F.lit(True)), ["_family", "plain"], "left").withColumn("_free", F.col("_t").isNull() & F.col("_free") if "_free" in now.columns else F.col("_t").isNull()).drop("_t")
+        first = now.where("_free").groupBy("_family", "plain").agg(F.min(F.struct("kind", "entity")).alias("_first"))
+        judged = now.join(first, ["_family", "plain"], "left").withColumn("_held", F.col("_free") & F.col("_first").eqNullSafe(F.struct("kind", "entity")))
+        judged = staged(judged.select("kind", "entity", "space", "plain", "_family", "_held"), "judged")
+        held.append(judged.where("_held").drop("_held"))
+        left = judged.where("not _held")
+        if left.isEmpty():
+            break
+        if attempt + 1 == ATTEMPTS:
+            if not left.where("space = ''").isEmpty():
+                raise ValueError("names or addresses are left without a replacement")
+            full = left.select("space").distinct()
+            held = [h.join(full, "space", "left_anti") for h in held]
+            again = entities.mapInArrow(drawn(0), schema).join(full, "space").withColumn("_family", family)
+            return reduce(DataFrame.unionByName, [*held, again]).select("kind", "entity", "plain")
+        left = left.select("kind", "entity")
+    return reduce(DataFrame.unionByName, held).select("kind", "entity", "plain")
 
 
 def replace_private(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text with surrogates, n_entities (distinct ones in the text), for every row of ``docs``.
 
-    A null text stays null, and texts without mentions stay as they are.  Texts that
-    can hold mentions are joined with their replacements; others aren't moved.
+    A null text stays null, and texts without mentions stay as they are.  Rows of one
+    text have one result, repeated or not; a null doc_id stays null, and extra columns
+    are left out.  Texts that can hold mentions are joined with their replacements;
+    others aren't moved.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = staged(find_mentions(rows), "mentions")
@@ -232,5 +380,12 @@ def replace_private(docs: DataFrame, key: bytes) -> DataFrame:
     return rows.where(~may).withColumn("n_entities", F.lit(0).cast("long")).unionByName(changed)
 
 
+def configured_key(spark: SparkSession) -> bytes:
+    """The key, from the session's KEY_SETTING; where that is unset, a fresh one, whose surrogates hold for one run."""
+    named = spark.conf.get(KEY_SETTING, None)
+    return named.encode() if named else secrets.token_bytes(32)
+
+
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_private(table(spark, sf_dir, "documents"), b"a key that users replace by their own")
+    """doc_id, text with surrogates, n_entities of every document."""
+    return replace_private(table(spark, sf_dir, "documents"), configured_key(spark))
