@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import clash_free, staged, table, unit_hash
+from tessera.llm.arrays import let
+from tessera.llm.common import clash_free, shuffle_width, staged, table, unit_hash
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -19,6 +20,8 @@ MAX_EPOCHS = 3
 BLOCK_WORDS = 4096
 #: Ranks in a permuted order are counted within buckets of about so many blocks.
 BUCKET_ROWS = 256
+#: Levels of the tree after which its nodes are dealt anew.
+SPREAD_LEVELS = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -27,10 +30,14 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def sized_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, copy: rows alike in the first three are numbered by copy."""
-    alike = Window.partitionBy("doc_id", "source", "size").orderBy("size")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
+    """doc_id, source, size, hash (of the text), copy: rows alike in the first four, repeated ones, are numbered by copy."""
+    alike = Window.partitionBy("doc_id", "source", "size", "hash").orderBy("size")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), _text_hash().alias("hash"))
     return rows.withColumn("copy", F.row_number().over(alike))
 
 
@@ -88,11 +95,12 @@ def hypergeometric(total: str, marked: str, drawn: str, u: str) -> str:
 
 
 def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
-    """Split each source's quota exactly among ``shards`` (a power of two): src, bounds.
+    """Split each source's quota exactly among ``shards`` (a power of two): src, shard, lo, hi.
 
-    ``bounds`` are the ends of the shards' stretches in the source's permuted order.
-    Each node of the tree gives half its blocks to its left child; how many of each
-    source these are is drawn source by source from the hypergeometric law.
+    lo..hi is the shard's stretch in the source's permuted order; empty ones are left
+    out.  Each node of the tree gives half its blocks to its left child; how many of
+    each source these are is drawn source by source from the hypergeometric law.
+    Nodes are dealt anew every few levels, so many tasks draw.
     """
     if shards < 1 or shards & (shards - 1):
         raise ValueError("shards must be a power of two")
@@ -107,10 +115,11 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
         right = F.zip_with("q", "half", lambda a, b: F.struct(a["src"].alias("src"), (a["quota"] - b["quota"]).alias("quota")))
         children = F.array(F.struct((2 * F.col("node")).alias("node"), F.col("half").alias("q")), F.struct((2 * F.col("node") + 1).alias("node"), right.alias("q")))
         nodes = nodes.select(F.inline(children))
-    leaves = nodes.select("node", F.inline("q"))
-    stretch = F.sort_array(F.collect_list(F.struct("node", "quota")))
-    ends = "slice(aggregate(q, array(0L), (a, x) -> concat(a, array(element_at(a, -1) + x.quota))), 2, size(q))"
-    return leaves.groupBy("src").agg(stretch.alias("q")).select("src", F.expr(ends).alias("bounds"))
+        if level % SPREAD_LEVELS == SPREAD_LEVELS - 1:
+            nodes = nodes.repartition(min(2 << level, shuffle_width(quotas.sparkSession)), "node")
+    leaves = nodes.select(F.col("node").cast("int").alias("shard"), F.inline("q"))
+    upto = Window.partitionBy("src").orderBy("shard")
+    return leaves.where("quota > 0").withColumn("hi", F.sum("quota").over(upto)).select("src", "shard", (F.col("hi") - F.col("quota")).alias("lo"), "hi")
 
 
 def _ranked(blocks: DataFrame, per_source: Column, words: bool, *key: str) -> DataFrame:
@@ -134,12 +143,14 @@ def mix(sized: DataFrame, targets: DataFrame, shards: int, block_words: int = BL
     """The blocks that the mix takes, each with the shard and the place it goes to.
 
     ``sized`` and ``targets`` are tables, as both are read several times.  Columns:
-    doc_id, source, size, copy, epoch, block, start, words (the block is the words
-    from ``start`` on), shard, place (0, 1, ... in the shard).  Every document is
-    taken ``epochs`` times; in one more pass, blocks in permuted order fill ``rest``,
-    and the last is cut to meet it.  Documents without words are never taken.
+    doc_id, source, size, hash, copy, epoch, block, start, words (the block is the
+    words from ``start`` on), shard, place (0, 1, ... in the shard).  Every document
+    is taken ``epochs`` times; in one more pass, blocks in permuted order fill
+    ``rest``, and the last is cut to meet it.  Documents without words are never
+    taken.  A block finds its shard by a join of ranks with the shards' stretches, in
+    bins about as long as a stretch.
     """
-    key = ("doc_id", "size", "copy", "block")
+    key = ("doc_id", "size", "hash", "copy", "block")
     named = targets.withColumnRenamed("source", "_source")
     numbered = sized.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     blocks = numbered.where("size > 0").withColumn("block", F.explode(F.sequence(F.lit(0), ((F.col("size") - 1) / block_words).cast("int"))))
@@ -150,13 +161,16 @@ def mix(sized: DataFrame, targets: DataFrame, shards: int, block_words: int = BL
     full = blocks.where("epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)))
     draws = staged(full.unionByName(partial), "draws")
     quotas = draws.groupBy("src").agg(F.count("*").alias("quota"))
-    bounds = staged(split_quotas(quotas, shards, seed), "shards")
+    stretches = split_quotas(quotas, shards, seed)
+    # a row per source, as in ``targets``
+    bins = quotas.select("src", F.ceil(F.col("quota") / shards).alias("_width"))
+    binned = stretches.join(bins, "src").withColumn("_bin", F.explode(F.sequence(F.floor(F.col("lo") / F.col("_width")), F.floor((F.col("hi") - 1) / F.col("_width"))))).drop("_width")
     ranked = _ranked(draws.withColumn("_u", unit_hash(F.lit(seed), order(1), F.col("epoch"))), F.col("n_blocks") * (F.col("epochs") + 1), False, *key, "epoch")
-    ranked = ranked.join(bounds, "src")
-    ranked = ranked.withColumn("shard", F.size(F.filter("bounds", lambda b: b <= F.col("_rank"))))
+    ranked = ranked.join(bins, "src").withColumn("_bin", F.floor(F.col("_rank") / F.col("_width")))
+    ranked = ranked.join(staged(binned, "shards"), ["src", "_bin"]).where("lo <= _rank and _rank < hi")
     place = Window.partitionBy("shard").orderBy(unit_hash(F.lit(seed), F.lit(2), F.col("_u"), F.col("shard")), *key, "epoch")
     ranked = ranked.withColumn("place", F.row_number().over(place) - 1)
-    return ranked.select("doc_id", "source", "size", "copy", "epoch", "block", "start", "words", "shard", "place")
+    return ranked.select("doc_id", "source", "size", "hash", "copy", "epoch", "block", "start", "words", "shard", "place")
 
 
 def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -165,21 +179,23 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
     A document taken whole keeps its text; of one taken in part, the words of the
     blocks taken stand in order, a space between.  ``n_chars`` follows the text.
     A shard's rows stand together, by place; a row of several blocks where its first is.
+    Repeated rows are taken each for itself, a null doc_id or source is one like others,
+    texts without words are never taken, and no rows give no rows.
     """
-    doc, source, size, copy = clash_free(docs, "_doc", "_source", "_size", "_copy")
+    doc, source, size, text_hash, copy = clash_free(docs, "_doc", "_source", "_size", "_hash", "_copy")
     sized = staged(sized_documents(docs), "sized")
     targets = staged(source_targets(sized, block_words=block_words), "targets")
     words = targets.agg(F.sum("source_size")).first()[0] or 0
     drawn = mix(sized, targets, shards_for(words), block_words)
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))]
-    passes = drawn.groupBy("doc_id", "source", "size", "copy", "epoch").agg(F.sort_array(F.collect_list(F.struct("start", "words"))).alias("blocks"), F.sum("words").alias("taken"), F.min_by(F.struct("shard", "place"), "start").alias("at"))
-    taken = passes.select(key[0].alias("_d"), key[1].alias("_s"), F.col("size").alias("_z"), F.struct("copy", "taken", "blocks", "at").alias("one")).groupBy("_d", "_s", "_z").agg(F.collect_list("one").alias("_passes"))
-    named = docs.withColumn(doc, key[0]).withColumn(source, key[1]).withColumn(size, n_words(F.col("text")))
-    named = named.withColumn(copy, F.row_number().over(Window.partitionBy(doc, source, size).orderBy(size)))
-    joined = named.join(taken, (F.col(doc) == F.col("_d")) & (F.col(source) == F.col("_s")) & (F.col(size) == F.col("_z")))
-    rows = joined.withColumn("_pass", F.explode(F.filter("_passes", lambda p: p["copy"] == F.col(copy))))
-    every = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    part = F.array_join(F.flatten(F.transform("_pass.blocks", lambda b: F.slice(every, b["start"].cast("int") + 1, b["words"].cast("int")))), " ")
+    passes = drawn.groupBy("doc_id", "source", "size", "hash", "copy", "epoch").agg(F.sort_array(F.collect_list(F.struct("start", "words"))).alias("blocks"), F.sum("words").alias("taken"), F.min_by(F.struct("shard", "place"), "start").alias("at"))
+    passes = passes.select(key[0].alias("_d"), key[1].alias("_s"), F.col("size").alias("_z"), F.col("hash").alias("_h"), F.col("copy").alias("_c"), F.struct("taken", "blocks", "at").alias("one"))
+    passes = passes.groupBy("_d", "_s", "_z", "_h", "_c").agg(F.collect_list("one").alias("_passes"))  # no more than passes over the source
+    named = docs.withColumn(doc, key[0]).withColumn(source, key[1]).withColumn(size, n_words(F.col("text"))).withColumn(text_hash, _text_hash())
+    named = named.withColumn(copy, F.row_number().over(Window.partitionBy(doc, source, size, text_hash).orderBy(size)))
+    same = [F.col(a) == F.col(b) for a, b in ((doc, "_d"), (source, "_s"), (size, "_z"), (text_hash, "_h"), (copy, "_c"))]
+    rows = named.join(passes, same).withColumn("_pass", F.explode("_passes"))
+    part = let(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda every: F.array_join(F.flatten(F.transform("_pass.blocks", lambda b: F.slice(every, b["start"].cast("int") + 1, b["words"].cast("int")))), " "))
     text = F.when(F.col("_pass.taken") == F.col(size), F.col("text")).otherwise(part)
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
@@ -193,12 +209,15 @@ def shards_for(words: int, least: int = 64, shard_words: int = 1 << 24) -> int:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken: the words that the mix takes of each document; draws: where its blocks go."""
+    """doc_id, size, source_size, target, taken: the words that the mix takes of each document; draws: where its blocks go.
+
+    A row for every row, repeated or not; null doc_ids and sources are values like others.
+    """
     sized = staged(sized_documents(table(spark, sf_dir, "documents")), "sized")
     targets = staged(source_targets(sized), "targets")
     words = targets.agg(F.sum("source_size")).first()[0] or 0
     drawn = mix(sized, targets, shards_for(words))
-    key = ["doc_id", "source", "size", "copy"]
+    key = ["doc_id", "source", "size", "hash", "copy"]
     draw = drawn.select(*key, "words", F.struct("epoch", "block", "shard", "place", "words").alias("draw"))
     both = sized.select(*key, F.lit(0).cast("long").alias("words")).unionByName(draw, allowMissingColumns=True)
     per = both.groupBy(*key).agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list("draw")).alias("draws"))

@@ -68,14 +68,48 @@ def test_hypergeometric_law(spark):
 
 def test_quotas_split_exactly(spark):
     quotas = spark.createDataFrame([(0, 1000), (1, 1), (2, 0), (3, 137)], "src int, quota long")
-    got = {r["src"]: r["bounds"] for r in mixing.split_quotas(quotas, 16, 3).collect()}
-    assert {s: b[-1] for s, b in got.items()} == {0: 1000, 1: 1, 2: 0, 3: 137}
-    sizes = np.diff(np.array([[0, *got[s]] for s in sorted(got)]).sum(axis=0))
-    assert sizes.max() - sizes.min() <= 4 and all((np.diff([0, *b]) >= 0).all() for b in got.values())
+    rows = mixing.split_quotas(quotas, 16, 3).collect()
+    sizes = np.zeros(16)
+    for src, quota in ((0, 1000), (1, 1), (2, 0), (3, 137)):
+        own = sorted((r["shard"], r["lo"], r["hi"]) for r in rows if r["src"] == src)
+        ends = [0, *(hi for _, _, hi in own)]
+        assert [lo for _, lo, _ in own] == ends[:-1] and ends[-1] == quota and all(hi > lo for _, lo, hi in own)
+        for shard, lo, hi in own:
+            sizes[shard] += hi - lo
+    assert sizes.max() - sizes.min() <= 4
     with pytest.raises(ValueError):
         mixing.split_quotas(quotas, 12, 3)
 
 
+def test_draws_equal_brute_force(spark):
+    """The shards and places from the blocks' own order, by counting."""
+    rng = np.random.default_rng(5)
+    docs = table(spark, [(int(i) if i % 7 else None, " ".join(["w"] * int(rng.integers(0, 200))), f"s{i % 3}") for i in range(400)])
+    sized = mixing.staged(mixing.sized_documents(docs), "t")
+    targets = mixing.staged(mixing.source_targets(sized, block_words=50), "t")
+    rows = mixing.mix(sized, targets, 8, block_words=50).collect()
+    key = ("size", "hash", "copy", "block")
+    hashed = spark.createDataFrame([(n, -1 if r["doc_id"] is None else r["doc_id"], *(r[c] for c in key), r["epoch"]) for n, r in enumerate(rows)], "n int, doc long, size long, hash long, copy int, block int, epoch long")
+    first = mixing.unit_hash(F.lit(20), F.lit(1), F.col("doc"), *(F.col(c) for c in key))
+    u = dict(hashed.select("n", mixing.unit_hash(F.lit(20), first, F.col("epoch"))).collect())
+    src = {r["source"]: r["src"] for r in targets.collect()}
+    quotas = Counter(src[r["source"]] for r in rows)
+    stretches = mixing.split_quotas(spark.createDataFrame(sorted(quotas.items()), "src int, quota long"), 8, 20).collect()
+    for s in src:
+        order = sorted((n for n, r in enumerate(rows) if r["source"] == s), key=lambda n: u[n])
+        for rank, n in enumerate(order):
+            assert [x["shard"] for x in stretches if x["src"] == src[s] and x["lo"] <= rank < x["hi"]] == [rows[n]["shard"]]
+
+
+def test_repeated_rows(spark):
+    import time
+
+    docs = spark.range(10_000).selectExpr("if(id < 5000, 7L, null) doc_id", "'a b c' text", "'s' source")
+    began = time.time()
+    out = mixing.mixed_documents(docs)
+    assert out.count() == 10_000 and time.time() - began < 60
+
+
 def test_edges(spark, documents, no_documents, edge_rows):
     out = mixing.mixed_documents(documents)
     assert out.columns == documents.columns
