@@ -23,7 +23,7 @@ from tessera.llm.components import Forest, connected_components
 
 LEAST_COSINE = 0.93
 #: Members of a bucket's block; a larger bucket is cut into blocks of about so many, however many these are.
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 256
 #: Bytes of vectors that a task reads, about.
 TASK_BYTES = 16_000_000
 _SMALL = 48
