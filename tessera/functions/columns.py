@@ -36,7 +36,7 @@ def enum_from_name(name: Column, enum: EnumDescriptor) -> Column:
 
 def timestamp_from_struct(ts: Column) -> Column:
     """Microseconds; what is finer is cut off."""
-    micros = ts["seconds"] * 1_000_000 + F.floor(ts["nanos"] / 1000).cast("long")
+    micros = ts["seconds"] * 1_000_000 + F.call_function("div", ts["nanos"], F.lit(1000))
     return F.when(ts.isNotNull(), F.timestamp_micros(micros))
 
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.columns import whole_or_null
+from tessera.functions.times import datetime_of, timestamp_of
 from tessera.operators.udfs import proto_udf
 from tessera.operators.wire import from_proto, to_proto
 from tessera.options import DEFAULT, MessageEncoder
@@ -38,8 +41,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return f"{shared.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    """A folder that driver and executors share; it goes when the driver ends."""
+    shared, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not shared:
+        one = master == "local" or master.startswith("local[")
+        shared = "file://" + tempfile.mkdtemp(prefix="tessera-") if one else spark.conf.get("spark.sql.warehouse.dir") + "/tessera-scratch"
+    path = f"{shared.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session has ended
+        return
 
 
 def _no_items() -> Column:
@@ -269,7 +286,7 @@ def rdd_of_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def local_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Message objects of the driver; the table of regions has five rows, whatever the scale."""
     nation = SHOP.message("shop.Nation")
-    regions = _table(spark, sf_dir, "region").limit(5).collect()
+    regions = _table(spark, sf_dir, "region").collect()
     return default.create_dataframe(spark, [nation(n_nationkey=r["r_regionkey"], n_name=r["r_name"], n_regionkey=7) for r in regions], nation)
 
 
@@ -314,4 +331,101 @@ def udf_bytes_to_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     return default.encode(_table(spark, sf_dir, "nation"), nation).select(parse("value").alias("n")).select("n.n_nationkey", "n.n_name")
 
 
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return default.decode(customer_bytes(spark, sf_dir), SHOP.message("shop.Customer"))
+
+
+@query("SELECT c_custkey AS C1, c_name AS C2, n_nationkey AS C1n, n_name AS C2n, c_acctbal AS C4 FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def numbered_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns named by the fields' numbers, written and read."""
+    numbered = ProtoSQL(DEFAULT.with_column_naming(lambda fd: f"C{fd.number}"))
+    customer = SHOP.message("shop.Customer")
+    rows = numbered.decode(customer_bytes(spark, sf_dir), customer)
+    again = numbered.decode(numbered.encode(rows, customer), customer)
+    return again.select("C1", "C2", F.col("C3.C1").alias("C1n"), F.col("C3.C2").alias("C2n"), "C4")
+
+
+@query("SELECT o_orderkey, CAST(floor(o_totalprice * 100) AS BIGINT) AS price FROM orders")
+def replaced_encoders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry of encoders put in place of another."""
+    money = ProtoSQL(DEFAULT.with_spark_timestamps().with_message_encoders([MONEY]))
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.floor(F.col("o_totalprice") * 100).alias("price"))
+    return money.decode(money.encode(rows, SHOP.message("shop.Priced")), SHOP.message("shop.Priced"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def json_inferred_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON whose schema Spark infers, fitted to the message by name."""
+    path = _scratch(spark)
+    _table(spark, sf_dir, "nation").select("n_regionkey", F.lit("more").alias("extra"), "n_name", "n_nationkey").write.json(path)
+    return default.as_message(spark.read.json(path), SHOP.message("shop.Nation"))
+
+
+@query("SELECT c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0")
+def parquet_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _scratch(spark)
+    rows = _customers(spark, sf_dir)
+    write_parquet(rows, path)
+    write_parquet(rows.where("c_acctbal > 0"), path, "overwrite")
+    return default.read_parquet(spark, path, SHOP.message("shop.Customer")).select("c_custkey", "c_name", "nation.n_name")
+
+
+@query("SELECT c_custkey, lower(n_name) AS n_name, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def saved_after_message_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column that a user function made of messages, saved twice in the session's own format and loaded."""
+    nation = SHOP.message("shop.Nation")
+    lowered = proto_udf(lambda n: nation(n_nationkey=n.n_nationkey, n_name=n.n_name.lower(), n_regionkey=n.n_regionkey), nation, nation)
+    path = _scratch(spark)
+    rows = _customers(spark, sf_dir).withColumn("lowered", lowered("nation"))
+    for _ in range(2):
+        rows.write.mode("overwrite").save(path)
+    return spark.read.load(path).select("c_custkey", "lowered.n_name", "lowered.n_regionkey")
+
+
+@query("SELECT n_nationkey, n_name || ': ' || n_regionkey AS line FROM nation")
+def collected_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that the driver collects as messages; the table of nations has 25, whatever the scale."""
+    nation = SHOP.message("shop.Nation")
+    read = default.decode(default.encode(_table(spark, sf_dir, "nation"), nation), nation)
+    lines = [(m.n_nationkey, f"{m.n_name}: {m.n_regionkey}") for m in default.collect_messages(read, nation)]
+    return spark.createDataFrame(lines, "n_nationkey int, line string")
+
+
+@query("SELECT event_id, ts + INTERVAL 90 MINUTE AS later FROM events")
+def datetime_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timestamp messages as datetimes inside a user function."""
+    event = SHOP.message("shop.Event")
+
+    def later(e):
+        out = event(event_id=e.event_id)
+        out.ts.CopyFrom(timestamp_of(datetime_of(e.ts) + timedelta(minutes=90), type(out.ts)))
+        return out
+
+    read = with_spark_timestamps.decode(event_bytes(spark, sf_dir), event)
+    moved = read.select(with_spark_timestamps.udf(later, event, event)(F.struct("*")).alias("e"))
+    return moved.select("e.event_id", F.col("e.ts").alias("later"))
+
+
+_MIXED = [("nation", "n_nationkey"), ("c_custkey", "c_custkey"), ("raw", "octet_length(encode(c_name))"), ("status", "2"), ("n_name", "length(n_name)")]
+
+
+def _mixed(n: int) -> None:
+    names = [_MIXED[i % len(_MIXED)][0] for i in range(n)]
+    kinds = {"nation": SHOP.message("shop.Nation"), "c_custkey": "bigint", "raw": "binary", "status": SHOP.enum("shop.Order.Status"), "n_name": "string"}
+    plain = lambda x: x if isinstance(x, int) else len(x) if isinstance(x, (bytes, str)) else x.n_nationkey
+    call = proto_udf(lambda *xs: sum((i + 1) * plain(x) for i, x in enumerate(xs)), "bigint", *(kinds[c] for c in names))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _customers(spark, sf_dir).select("c_custkey", "nation", "nation.n_name", F.encode("c_name", "UTF-8").alias("raw"), F.lit("O").alias("status"))
+        return rows.select("c_custkey", call(*names).alias("v"))
+
+    run.__name__ = f"udf_mixed_{n}"
+    total = " + ".join(f"{i + 1} * {_MIXED[i % len(_MIXED)][1]}" for i in range(n))
+    query(f"SELECT c_custkey, CAST({total} AS BIGINT) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey")(run)
+
+
+for _n in range(2, 11):
+    _mixed(_n)
+
+
 __all__ = ["ORACLE", "QUERIES", "flagship", "from_proto", "to_proto"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.options import DEFAULT, SchemaOptions
 from tessera.plans.descriptors import MessageType
@@ -11,10 +12,14 @@ from tessera.sources.frames import ProtoSQL
 
 
 def decode_stream(stream: DataFrame, message: MessageType, column: str = "value", options: SchemaOptions = DEFAULT) -> DataFrame:
-    """The stream with ``column`` taken apart into the message's columns, beside its other columns."""
+    """The stream with ``column`` taken apart into the message's columns, beside its other columns.
+
+    A message whose column is no struct stays one column, ``value``.
+    """
     others = [c for c in stream.columns if c != column]
     decoded = stream.select(*others, ProtoSQL(options).from_proto(F.col(column), message).alias("_message"))
-    return decoded.select(*others, "_message.*")
+    kind = decoded.schema["_message"].dataType
+    return decoded.select(*others, "_message.*") if isinstance(kind, T.StructType) and kind.fields else decoded.withColumnRenamed("_message", "value")
 
 
 def encode_stream(stream: DataFrame, message: MessageType, options: SchemaOptions = DEFAULT) -> DataFrame:

@@ -10,105 +10,125 @@ from tessera.options import DEFAULT
 from tessera.sources import frames
 from tessera.sources.frames import ProtoSQL, default, parquet_safe, write_parquet
 from tessera.streaming.streams import decode_stream, encode_stream
-from tests.protos import EVOLVED, PEOPLE, WRAPPERS
+from tests.protos import CARGO, HARBOR, TIDES
 
-PERSON = PEOPLE.message("people.Person")
+VESSEL = HARBOR.message("harbor.Vessel")
 
 
-def owen():
-    p = PERSON(name="Owen M", age=35, gender=1, data=b"\x01\x02\x03")
-    p.addresses.add(city="San Francisco")
-    return p
+def tug():
+    v = VESSEL(callsign="TUG 9", registry=4711, waters=3, seal=b"\x10\x00\xfe", tanks=[7, 2**32 - 1])
+    v.calls.add(mooring="north quay", depth=6.5)
+    v.engine.fuel = 2
+    return v
 
 
 def test_create_filter_and_collect(spark):
-    df = default.create_dataframe(spark, [owen(), PERSON(name="B", age=20, gender=2)], PERSON)
-    assert df.where(F.col("age") > 30).count() == 1 and df.where(F.col("gender") == "FEMALE").count() == 1
-    assert df.select(F.sha1("data"), F.get("addresses", 0)["city"], F.get("addresses", 5)).first()[1:] == ("San Francisco", None)
-    assert default.collect_messages(df, PERSON)[0] == owen()
-    assert default.create_dataframe(spark, [], PERSON).count() == 0
+    df = default.create_dataframe(spark, [tug(), VESSEL(callsign="FERRY", registry=8, waters=7)], VESSEL)
+    assert df.where(F.col("registry") > 100).count() == 1 and df.where(F.col("waters") == "OCEAN").count() == 1
+    assert df.select(F.sha1("seal"), F.get("calls", 0)["mooring"], F.get("calls", 5)).first()[1:] == ("north quay", None)
+    assert default.collect_messages(df, VESSEL)[0] == tug()
+    assert default.create_dataframe(spark, [], VESSEL).count() == 0
 
 
 def test_rdd(spark):
-    raw = spark.sparkContext.parallelize([owen().SerializeToString()] * 3, 2)
-    assert frames.to_dataframe(raw, PERSON, spark).select("name").distinct().first()[0] == "Owen M"
+    raw = spark.sparkContext.parallelize([tug().SerializeToString()] * 3, 2)
+    assert frames.to_dataframe(raw, VESSEL, spark).select("callsign").distinct().first()[0] == "TUG 9"
 
 
 def test_as_message_goes_by_name(spark):
-    kind = "nested_field array<struct<omit:struct<a:string>,persisted:struct<field_one:string,extra:int>,field_two:string,field_one:string>>, additional string"
-    rows = [([(("x",), ("kept", 5), "two", "one")],  "more"), (None, "none")]
-    wide = spark.createDataFrame(rows, kind)
-    got = default.as_message(wide, EVOLVED.message("evolved.Read")).collect()
-    assert got[0].asDict(recursive=True) == {"nested_field": [{"field_one": "one", "field_two": "two", "persisted": {"field_one": "kept"}}]}
-    assert got[1]["nested_field"] == []
-    with pytest.raises(ValueError, match="nested_field"):
-        default.as_message(spark.range(1), EVOLVED.message("evolved.Read"))
-    with pytest.raises(ValueError, match="nested_field.field_two"):
-        default.as_message(spark.createDataFrame([], "nested_field array<struct<field_one:string,persisted:struct<field_one:string>>>"), EVOLVED.message("evolved.Read"))
+    kind = "season int, crates array<struct<label:string,stamp:struct<by:string,code:string>,insured:boolean,weight:int>>"
+    wide = spark.createDataFrame([(1, [("tea", ("office", "Q7"), True, 40)]), (2, None)], kind)
+    manifest = CARGO.message("cargo.Manifest")
+    full, none = default.as_message(wide, manifest).collect()
+    assert full.asDict(recursive=True) == {"crates": [{"weight": 40, "stamp": {"code": "Q7"}, "label": "tea"}]} and none["crates"] == []
+    with pytest.raises(ValueError, match="crates"):
+        default.as_message(spark.range(1), manifest)
+    with pytest.raises(ValueError, match="crates.label"):
+        default.as_message(wide.selectExpr("transform(crates, c -> named_struct('weight', c.weight, 'stamp', c.stamp)) crates"), manifest)
 
 
 def test_parquet_and_empty_structs(spark, tmp_path):
-    df = default.create_dataframe(spark, [owen()], PERSON)
+    df = default.create_dataframe(spark, [tug()], VESSEL)
     write_parquet(df, str(tmp_path / "p"))
     back = spark.read.parquet(str(tmp_path / "p"))
-    assert "base" not in back.columns and back.select("addresses").first()[0][0]["city"] == "San Francisco"
+    assert "ballast" not in back.columns and back.select("calls").first()[0][0]["depth"] == 6.5
     assert parquet_safe(df.schema).fieldNames() == back.columns
-    with_base = back.withColumn("base", F.struct().cast("struct<>"))
-    assert default.collect_messages(with_base.withColumn("base", F.lit(None).cast(df.schema["base"].dataType)), PERSON) == [owen()]
+    assert default.collect_messages(back.withColumn("ballast", F.lit(None).cast(df.schema["ballast"].dataType)), VESSEL) == [tug()]
 
 
 def test_json_null_repeated(spark, tmp_path):
-    rows = [{"tags": ["foo", "bar"]}, {"tags": []}, {"tags": None}, {}]
-    (tmp_path / "x.json").write_text("\n".join(json.dumps(r | {"name": str(i)}) for i, r in enumerate(rows)))
-    got = default.read_json(spark, str(tmp_path), PERSON).orderBy("name")
-    assert [r["tags"] for r in got.collect()] == [["foo", "bar"], [], [], []]
+    rows = [{"flags": ["blue", "peter"]}, {"flags": []}, {"flags": None}, {}]
+    (tmp_path / "x.json").write_text("\n".join(json.dumps(r | {"registry": i}) for i, r in enumerate(rows)))
+    got = default.read_json(spark, str(tmp_path), VESSEL).orderBy("registry")
+    assert [r["flags"] for r in got.collect()] == [["blue", "peter"], [], [], []]
 
 
 def test_udfs(spark):
-    df = default.create_dataframe(spark, [owen(), None], PERSON).select(F.struct("*").alias("p"))
-    older = proto_udf(lambda p, n: None if p is None else PERSON(name=p.name, age=p.age + n), PERSON, PERSON, "int")
-    assert [r[0] for r in df.select(older("p", F.lit(1)).alias("q")).select("q.age").collect()][0] == 36
-    flip = proto_udf(lambda g: None if g is None else 3 - g, PEOPLE.enum("people.Gender"), PEOPLE.enum("people.Gender"))
-    genders = spark.createDataFrame([("MALE",), ("FEMALE",), (None,)], "g string")
-    assert [r[0] for r in genders.select(flip("g")).collect()] == ["FEMALE", "MALE", None]
-    parse = proto_udf(lambda b: PEOPLE.message("people.Hit").message_class.FromString(b), PEOPLE.message("people.Hit"), "binary")
-    hit = PEOPLE.message("people.Hit")(id=b"\x00", target="t")
-    assert tuple(spark.createDataFrame([(hit.SerializeToString(),)], "b binary").select(parse("b").alias("h")).select("h.*").first()) == (b"\x00", "t")
+    df = default.create_dataframe(spark, [tug(), None], VESSEL).select(F.struct("*").alias("v"))
+    renamed = proto_udf(lambda v, n: None if v is None else VESSEL(callsign=v.callsign, registry=v.registry + n), VESSEL, VESSEL, "int")
+    assert [r[0] for r in df.select(renamed("v", F.lit(1)).alias("w")).select("w.registry").collect()][0] == 4712
+    other = proto_udf(lambda w: None if w is None else 10 - w, HARBOR.enum("harbor.Waters"), HARBOR.enum("harbor.Waters"))
+    waters = spark.createDataFrame([("COASTAL",), ("OCEAN",), (None,)], "w string")
+    assert [r[0] for r in waters.select(other("w")).collect()] == ["OCEAN", "COASTAL", None]
+    parcel = HARBOR.message("harbor.Parcel")
+    parse = proto_udf(lambda b: parcel.message_class.FromString(b), parcel, "binary")
+    raw = parcel(stamp=b"\x00", weight=12).SerializeToString()
+    assert tuple(spark.createDataFrame([(raw,)], "b binary").select(parse("b").alias("p")).select("p.*").first()) == (12, b"\x00")
     with pytest.raises(ValueError):
         proto_udf(lambda: 1, "int")
     with pytest.raises(ValueError):
         proto_udf(lambda *x: 1, "int", *["int"] * 11)
     with pytest.raises(TypeError):
-        flip("g", "g")
+        other("w", "w")
 
 
 def test_instances(spark):
-    message = WRAPPERS.message("wrappers.PrimitiveWrappers")
-    m = message(ints=[{"value": 1}], strings=[{"value": "s"}])
-    m.int_value.value = 45
+    message = TIDES.message("tides.Reading")
+    m = message(counts=[{"value": 4}], alarms=[{"value": True}])
+    m.water_height.value = 1.5
     camel = ProtoSQL(DEFAULT.with_camel_names()).create_dataframe(spark, [m, message()], message)
-    assert [tuple(r) for r in camel.collect()] == [(45, None, [1], ["s"]), (None, None, [], [])]
+    assert camel.columns[0] == "waterHeight" and [tuple(r) for r in camel.collect()] == [(1.5, None, [4], [True]), (None, None, [], [])]
     kept = frames.with_retained_primitive_wrappers.create_dataframe(spark, [m], message)
-    assert kept.select("int_value.value", F.get("ints", 0)["value"]).first()[:] == (45, 1)
+    assert kept.select("water_height.value", F.get("counts", 0)["value"]).first()[:] == (1.5, 4)
     assert frames.with_retained_primitive_wrappers.collect_messages(kept, message) == [m]
     with pytest.warns(DeprecationWarning):
         assert frames.with_primitive_wrappers().options == DEFAULT
 
 
+def test_shown(spark, capsys):
+    df = default.create_dataframe(spark, [tug()], VESSEL).select("callsign", "waters")
+    df.show()
+    df.printSchema()
+    out = capsys.readouterr().out
+    assert "TUG 9" in out and "COASTAL" in out and "|-- waters: string" in out
+
+
 def test_outer_columns_stay_beside_a_message(spark):
-    df = default.create_dataframe(spark, [owen()], PERSON).select(F.struct("*").alias("x"), F.lit("y").alias("y"))
-    assert df.select("x.*", "y").first()["name"] == "Owen M"
+    df = default.create_dataframe(spark, [tug()], VESSEL).select(F.struct("*").alias("v"), F.lit("dock").alias("place"))
+    assert df.select("v.*", "place").first()["callsign"] == "TUG 9"
+
+
+def _run(frame, name):
+    frame.writeStream.format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination(60)
+    return frame.sparkSession.table(name).collect()
 
 
 def test_streams(spark, tmp_path):
-    rows = spark.createDataFrame([(i, PERSON(name=f"p{i}", age=i).SerializeToString()) for i in range(10)], "k int, value binary")
+    rows = spark.createDataFrame([(i, VESSEL(callsign=f"v{i}", registry=i).SerializeToString()) for i in range(10)], "k int, value binary")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    assert sorted(r["k"] for r in _run(decode_stream(stream, VESSEL).where("registry >= 5").drop("ballast"), "vessels_out")) == [5, 6, 7, 8, 9]
+    again = encode_stream(decode_stream(stream, VESSEL).drop("k"), VESSEL)
+    assert sorted(bytes(r[0]) for r in _run(again, "bytes_out")) == sorted(bytes(r["value"]) for r in rows.collect())
+
+
+def test_streams_of_scalars(spark, tmp_path):
+    from google.protobuf import wrappers_pb2
+
+    from tessera.plans.descriptors import ProtoSchema
+
+    whole = ProtoSchema.from_modules(wrappers_pb2).message("google.protobuf.Int64Value")
+    rows = spark.createDataFrame([(i, whole(value=10 * i).SerializeToString()) for i in range(3)], "k int, value binary")
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    decoded = decode_stream(stream, PERSON).where("age >= 5").drop("base")
-    q = decoded.writeStream.format("memory").queryName("people_out").trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    assert sorted(r["k"] for r in spark.table("people_out").collect()) == [5, 6, 7, 8, 9]
-    again = encode_stream(decode_stream(stream, PERSON).drop("k"), PERSON)
-    q = again.writeStream.format("memory").queryName("bytes_out").trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    assert sorted(bytes(r[0]) for r in spark.table("bytes_out").collect()) == sorted(bytes(r["value"]) for r in rows.collect())
+    assert sorted(map(tuple, _run(decode_stream(stream, whole), "scalars_out"))) == [(0, 0), (1, 10), (2, 20)]

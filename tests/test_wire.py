@@ -12,7 +12,7 @@ from tessera.functions.columns import enum_from_name, enum_to_name, struct_from_
 from tessera.operators.wire import from_proto, to_proto
 from tessera.options import DEFAULT
 from tessera.plans.schema import as_nullable, schema_for
-from tests.protos import _KINDS, ALL, DEFAULTS, PEOPLE, WRAPPERS
+from tests.protos import _GAUGE, _KINDS, ALL, GAUGES, HARBOR, TIDES
 
 OPTIONS = {"default": DEFAULT, "wrappers kept": DEFAULT.with_retained_primitive_wrappers(), "camel": DEFAULT.with_camel_names()}
 
@@ -104,91 +104,98 @@ def test_unrecognized_enum_numbers_keep_their_places(spark):
 
 
 def test_enum_columns(spark):
-    gender = PEOPLE.enum("people.Gender").descriptor
-    df = spark.createDataFrame([("MALE",), ("2",), ("+15",), (None,)], "s string")
-    assert [r[0] for r in df.select(enum_to_name(enum_from_name(F.col("s"), gender), gender)).collect()] == ["MALE", "FEMALE", "15", None]
-    for wrong in ("male", " 5 ", "99999999999", ""):
-        with pytest.raises(Exception, match="Unexpected value: .* for enum people.Gender"):
-            spark.createDataFrame([(wrong,)], "s string").select(enum_from_name(F.col("s"), gender)).collect()
+    waters = HARBOR.enum("harbor.Waters").descriptor
+    df = spark.createDataFrame([("COASTAL",), ("7",), ("+15",), (None,)], "s string")
+    assert [r[0] for r in df.select(enum_to_name(enum_from_name(F.col("s"), waters), waters)).collect()] == ["COASTAL", "OCEAN", "15", None]
+    for wrong in ("ocean", " 5 ", "99999999999", ""):
+        with pytest.raises(Exception, match="Unexpected value: .* for enum harbor.Waters"):
+            spark.createDataFrame([(wrong,)], "s string").select(enum_from_name(F.col("s"), waters)).collect()
 
 
 def test_defaults_and_presence(spark):
-    nine = [0, 0, 0, 0, 0.0, 0.0, False, "", b""]
-    message = DEFAULTS.message("defaults3.DefaultsV3")
-    assert list(frame(spark, [message()]).select(from_proto(F.col("b"), message).alias("m")).select("m.*").first()) == nine
-    message = DEFAULTS.message("defaults.DefaultsOptional")
-    assert list(frame(spark, [message()]).select(from_proto(F.col("b"), message).alias("m")).select("m.*").first()) == [None] * 9
-    message = DEFAULTS.message("defaults.DefaultsRequired")
-    full = message(i32Value=0, i64Value=0, u32Value=0, u64Value=0, dValue=0, fValue=0, bValue=False, sValue="", binaryValue=b"")
-    assert list(frame(spark, [full]).select(from_proto(F.col("b"), message).alias("m")).select("m.*").first()) == nine
-    message = DEFAULTS.message("defaults3.Presence")
-    rows = frame(spark, [message(), message(maybe=0)]).select(from_proto(F.col("b"), message).alias("m")).select("m.*").collect()
-    assert [tuple(r) for r in rows] == [(None, 0), (0, 0)]
+    zeros = dict(zip(_GAUGE, [0, 0, 0, 0, 0.0, 0.0, False, "", b""], strict=True))
+    read = lambda message, *rows: [r.asDict() for r in frame(spark, list(rows)).select(from_proto(F.col("b"), message).alias("m")).select("m.*").collect()]
+    plain, loose, strict, known = (GAUGES.message(m) for m in ("gauges3.Plain", "gauges2.Loose", "gauges2.Strict", "gauges3.Known"))
+    assert read(plain, plain()) == [zeros]
+    assert read(loose, loose()) == [dict.fromkeys(_GAUGE)]
+    assert read(strict, strict(**zeros)) == [zeros]
+    assert read(known, known(), known(maybe=0)) == [{"always": 0, "maybe": None}, {"always": 0, "maybe": 0}]
 
 
 def test_null_required_field_fails_and_null_scalar_is_default(spark):
-    message = DEFAULTS.message("defaults.DefaultsRequired")
+    message = GAUGES.message("gauges2.Strict")
     kind = as_nullable(schema_for(message)).simpleString()
     empty = spark.range(1).select(F.from_json(F.lit("{}"), kind).alias("m"))
     with pytest.raises(Exception, match="EncodeError|missing required"):
         empty.select(to_proto(F.col("m"), message)).collect()
-    message = DEFAULTS.message("defaults3.DefaultsV3")
+    message = GAUGES.message("gauges3.Plain")
     assert spark.range(1).select(F.from_json(F.lit("{}"), as_nullable(schema_for(message)).simpleString()).alias("m")).select(to_proto(F.col("m"), message)).first()[0] == b""
     assert EncodeError
 
 
 def test_null_messages_and_columns(spark):
-    message = PEOPLE.message("people.Person")
-    df = frame(spark, [None, message(name="x")]).select(from_proto(F.col("b"), message).alias("m"))
+    message = HARBOR.message("harbor.Vessel")
+    df = frame(spark, [None, message(callsign="x")]).select(from_proto(F.col("b"), message).alias("m"))
     assert [r[0] is None for r in df.collect()] == [True, False]
-    assert [r[0] for r in df.select(to_proto(F.col("m"), message)).collect()] == [None, message(name="x").SerializeToString()]
-    kind = as_nullable(schema_for(message)).simpleString().replace("base:struct<>,", "")
-    holes = spark.range(1).select(F.from_json(F.lit('{"name":"n","addresses":[null,{"city":"c"}]}'), kind).alias("m"))
-    assert holes.select("m.tags").first()[0] is None
+    assert [r[0] for r in df.select(to_proto(F.col("m"), message)).collect()] == [None, message(callsign="x").SerializeToString()]
+    kind = as_nullable(schema_for(message)).simpleString().replace("ballast:struct<>,", "")
+    holes = spark.range(1).select(F.from_json(F.lit('{"callsign":"n","calls":[null,{"pier":4}]}'), kind).alias("m"))
+    assert holes.select("m.flags").first()[0] is None
 
 
 def test_present_wrapper_of_zero(spark):
-    message = WRAPPERS.message("wrappers.PrimitiveWrappers")
+    message = TIDES.message("tides.Reading")
     zero = message()
-    zero.int_value.value = 0
-    got = frame(spark, [zero, message()]).select(from_proto(F.col("b"), message).alias("m")).select("m.int_value").collect()
+    zero.water_height.value = 0
+    got = frame(spark, [zero, message()]).select(from_proto(F.col("b"), message).alias("m")).select("m.water_height").collect()
     assert [r[0] for r in got] == [0, None]
 
 
 def test_chosen_fields(spark):
-    message = PEOPLE.message("people.Person")
-    df = frame(spark, [message(name="x", age=3, gender=2)]).select(from_proto(F.col("b"), message, fields=("age", "gender")).alias("m"))
-    assert df.select("m.*").first().asDict() == {"age": 3, "gender": "FEMALE"}
+    message = HARBOR.message("harbor.Vessel")
+    df = frame(spark, [message(callsign="x", registry=3, waters=7)]).select(from_proto(F.col("b"), message, fields=("registry", "waters")).alias("m"))
+    assert df.select("m.*").first().asDict() == {"registry": 3, "waters": "OCEAN"}
     with pytest.raises(ValueError, match="no field height"):
         from_proto(F.col("b"), message, fields=("height",))
 
 
 def test_bytes_that_are_no_message_fail(spark):
     with pytest.raises(Exception, match="DecodeError|parsing"):
-        spark.createDataFrame([(b"\xff\xff\xff",)], "b binary").select(from_proto(F.col("b"), PEOPLE.message("people.Person"))).collect()
+        spark.createDataFrame([(b"\xff\xff\xff",)], "b binary").select(from_proto(F.col("b"), HARBOR.message("harbor.Vessel"))).collect()
 
 
 def test_timestamps(spark):
-    stamp, both = WRAPPERS.message("wrappers.Stamp"), DEFAULT.with_spark_timestamps()
+    stamp, both = TIDES.message("tides.Mark"), DEFAULT.with_spark_timestamps()
     fine = stamp()
-    fine.google_ts.seconds, fine.google_ts.nanos = 4, 5006
+    fine.seen_at.seconds, fine.seen_at.nanos = 4, 5006
     df = frame(spark, [fine]).select(from_proto(F.col("b"), stamp, both).alias("m"))
-    assert df.select("m.google_ts").first()[0] == dt.datetime(1970, 1, 1, 0, 0, 4, 5)
+    assert df.select("m.seen_at").first()[0] == dt.datetime(1970, 1, 1, 0, 0, 4, 5)
     back = stamp.message_class.FromString(bytes(df.select(to_proto(F.col("m"), stamp, both)).first()[0]))
-    assert (back.google_ts.seconds, back.google_ts.nanos) == (4, 5000)
+    assert (back.seen_at.seconds, back.seen_at.nanos) == (4, 5000)
     micros = spark.createDataFrame([(-1,), (0,), (-1_000_000,), (1_500_000,), (None,)], "us long")
     made = micros.select("us", struct_from_timestamp(F.timestamp_micros("us")).alias("t"))
     rows = made.select("us", "t", F.unix_micros(timestamp_from_struct(F.col("t"))).alias("again")).collect()
     assert [r["t"] and tuple(r["t"]) for r in rows] == [(-1, 999_999_000), (0, 0), (-1, 0), (1, 500_000_000), None]
     assert [r["us"] for r in rows] == [r["again"] for r in rows]
-    stamps = WRAPPERS.message("wrappers.StampMap")
+    stamps = TIDES.message("tides.Logbook")
     held = stamps()
-    held.map_field["k"].google_ts.seconds = 9
-    held.map_field["none"].SetInParent()
-    got = frame(spark, [held]).select(from_proto(F.col("b"), stamps, both).alias("m")).select("m.map_field").first()[0]
-    assert got["k"]["google_ts"] == dt.datetime(1970, 1, 1, 0, 0, 9) and got["none"]["google_ts"] is None
+    held.marks["k"].seen_at.seconds = 9
+    held.marks["none"].SetInParent()
+    got = frame(spark, [held]).select(from_proto(F.col("b"), stamps, both).alias("m")).select("m.marks").first()[0]
+    assert got["k"]["seen_at"] == dt.datetime(1970, 1, 1, 0, 0, 9) and got["none"]["seen_at"] is None
 
 
 def test_null_tuple(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "n int, s string")
     assert [r[0] and tuple(r[0]) for r in df.select(whole_or_null(F.col("n"), F.col("s"), names=("n", "s"))).collect()] == [(1, "a"), None]
+
+
+def test_datetimes():
+    from google.protobuf.timestamp_pb2 import Timestamp
+
+    from tessera.functions.times import datetime_of, timestamp_of
+
+    for moment in (dt.datetime(1970, 1, 1), dt.datetime(1969, 12, 31, 23, 59, 59, 999_999), dt.datetime(2024, 2, 29, 1, 2, 3, 4)):
+        made = timestamp_of(moment)
+        assert datetime_of(made) == moment.replace(tzinfo=dt.timezone.utc) and 0 <= made.nanos < 10**9
+    assert datetime_of(Timestamp(seconds=1, nanos=1999)).microsecond == 1
