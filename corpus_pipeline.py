@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard, mixing, packing, secrets, toxicity
-from tessera.llm.common import staged, table
+from tessera.llm.common import forget, staged, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 CAPACITY = 2048
@@ -61,8 +61,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``, each written as Parquet and reread by the next."""
+    """All stages over the documents of ``sf_dir``, each written as Parquet and reread by the next.
+
+    A null text counts as empty in every stage, a null doc_id, source or other column
+    is a value like others, and rows that repeat are rows each until the second stage
+    leaves one of them.  No documents give no rows.  What a stage wrote for itself is
+    deleted when its result has been written.
+    """
     docs = table(spark, sf_dir, "documents")
+    before = written()
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
+        forget(spark, before, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
