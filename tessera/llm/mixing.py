@@ -193,7 +193,9 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
     passes = passes.groupBy("_d", "_s", "_z", "_h", "_c").agg(F.collect_list("one").alias("_passes"))  # no more than passes over the source
     named = docs.withColumn(doc, key[0]).withColumn(source, key[1]).withColumn(size, n_words(F.col("text"))).withColumn(text_hash, _text_hash())
     named = named.withColumn(copy, F.row_number().over(Window.partitionBy(doc, source, size, text_hash).orderBy(size)))
-    same = [F.col(a) == F.col(b) for a, b in ((doc, "_d"), (source, "_s"), (size, "_z"), (text_hash, "_h"), (copy, "_c"))]
+    # rows lie by these keys for the numbering already; the copy's own number is compared without being one, so that texts move once
+    same = [F.col(a) == F.col(b) for a, b in ((doc, "_d"), (source, "_s"), (size, "_z"), (text_hash, "_h"))]
+    same += [F.col(copy) <= F.col("_c"), F.col(copy) >= F.col("_c")]
     rows = named.join(passes, same).withColumn("_pass", F.explode("_passes"))
     part = let(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda every: F.array_join(F.flatten(F.transform("_pass.blocks", lambda b: F.slice(every, b["start"].cast("int") + 1, b["words"].cast("int")))), " "))
     text = F.when(F.col("_pass.taken") == F.col(size), F.col("text")).otherwise(part)
