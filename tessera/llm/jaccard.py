@@ -28,7 +28,7 @@ from tessera.llm.shingles import mix, sets, signature
 
 #: Part keys that a task of the second step reads, about, and classes of a search block.
 KEYS_PER_TASK = 300_000
-BLOCK_CLASSES = 128
+BLOCK_CLASSES = 64
 BLOCK_SHINGLES = 400_000
 #: A cluster's classes join with what is known of the cluster in so many tasks.
 SALTS = 64
