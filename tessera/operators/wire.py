@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions.columns import message_to_public, message_to_raw
+from tessera.operators.wireread import Odd, struct_of
 from tessera.options import DEFAULT, SchemaOptions
 from tessera.plans.descriptors import MessageType, ProtoSchema, is_map, is_repeated, is_required
 from tessera.plans.schema import raw_type
@@ -87,6 +88,14 @@ def _offsets(lists: list) -> pa.Array:
     return pa.array(np.concatenate(([0], np.cumsum([len(x) for x in lists], dtype=np.int32))).astype(np.int32))
 
 
+def struct_from_wire(raw: pa.Array, cls: type[Message], kind: pa.StructType) -> pa.StructArray:
+    """One raw struct per message of a binary array; fields that ``kind`` lacks are skipped."""
+    try:
+        return struct_of(raw, cls.DESCRIPTOR, kind)
+    except Odd:
+        return messages_to_struct([None if b is None else cls.FromString(b) for b in raw.to_pylist()], cls, kind)
+
+
 def struct_to_messages(array: pa.StructArray, cls: type[Message]) -> list[Message | None]:
     """One message per struct, None for null.  Null fields stay unset."""
     out = [cls() if valid else None for valid in array.is_valid().to_pylist()]
@@ -143,8 +152,7 @@ def raw_from_bytes(data: Column, message: MessageType, fields: tuple[str, ...] |
     kind = raw_type(message.descriptor, fields)
 
     def parse(raw: pa.Array) -> pa.Array:
-        cls = MessageType(ProtoSchema(file_set), name).shadow_class
-        return messages_to_struct([None if b is None else cls.FromString(b) for b in raw.to_pylist()], cls, _arrow_type(file_set, name, fields))
+        return struct_from_wire(raw, MessageType(ProtoSchema(file_set), name).shadow_class, _arrow_type(file_set, name, fields))
 
     return F.arrow_udf(parse, kind)(data)
 

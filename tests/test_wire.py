@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pyarrow as pa
 import pytest
 from google.protobuf.message import EncodeError, Message
 from hypothesis import HealthCheck, Phase, given, settings
@@ -9,7 +10,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import enum_from_name, enum_to_name, struct_from_timestamp, timestamp_from_struct, whole_or_null
-from tessera.operators.wire import from_proto, to_proto
+from tessera.operators.wire import _arrow_type, from_proto, messages_to_struct, struct_from_wire, to_proto
+from tessera.operators.wireread import Odd, struct_of
 from tessera.options import DEFAULT
 from tessera.plans.schema import as_nullable, schema_for
 from tests.protos import _GAUGE, _KINDS, ALL, GAUGES, HARBOR, TIDES
@@ -199,3 +201,55 @@ def test_datetimes():
         made = timestamp_of(moment)
         assert datetime_of(made) == moment.replace(tzinfo=dt.timezone.utc) and 0 <= made.nanos < 10**9
     assert datetime_of(Timestamp(seconds=1, nanos=1999)).microsecond == 1
+
+
+def _same(raw, message, fields=None):
+    """What numpy reads is what the runtime reads."""
+    cls = message.shadow_class
+    kind = _arrow_type(message.schema.file_set, message.full_name, fields)
+    array = pa.array(raw, pa.binary())
+    plain = messages_to_struct([None if b is None else cls.FromString(b) for b in raw], cls, kind)
+    as_map = lambda v: dict(v) if isinstance(v, list) and v and isinstance(v[0], tuple) else v
+    loose = lambda rows: [r and {k: as_map(v) for k, v in r.items()} for r in rows]
+    assert repr(loose(struct_of(array, cls.DESCRIPTOR, kind).to_pylist())) == repr(loose(plain.to_pylist()))
+    assert repr(loose(struct_from_wire(array.slice(1), cls, kind).to_pylist())) == repr(loose(plain.to_pylist()[1:]))
+
+
+@pytest.mark.parametrize("name", ["all2.Scalars", "all3.Scalars"])
+@settings(quick, max_examples=25)
+@given(data=st.data())
+def test_numpy_reads_scalars_as_the_runtime(name, data):
+    message = ALL.message(name)
+
+    def one():
+        m = message()
+        for k in _KINDS:
+            if data.draw(st.booleans()):
+                setattr(m, f"o_{k}", data.draw(VALUES[k]))
+            getattr(m, f"r_{k}").extend(data.draw(st.lists(VALUES[k], max_size=3)))
+            if name == "all2.Scalars":
+                setattr(m, f"q_{k}", data.draw(VALUES[k]))
+        return m.SerializeToString()
+
+    raw = [one(), None, one(), one() + one(), one()]  # the fourth has fields twice
+    _same(raw, message)
+    _same(raw, message, ("o_string", "r_sint64", "o_bool"))
+
+
+def test_numpy_reads_the_rest_as_the_runtime():
+    rest, level = ALL.message("all2.Rest"), ALL.message("all2.Level")
+    rows = [rest(number=5, text="later"), rest(text="only"), rest(nested=level(c=b"x")), rest(e=-1, es=[1, -1, 2], packed=[4, 5]), rest(levels=[level(c=b"1"), level()]), rest()]
+    raw = [m.SerializeToString() for m in rows]
+    raw += [raw[1] + raw[0], raw[0] + raw[1], b"\xfa\x3f\x03abc" + raw[3], b"\x18\x04\x18\x05" + raw[4], None, b""]
+    _same(raw, rest)
+    _same(raw, rest, ("text",))
+    maps = ALL.message("all3.Maps")
+    some = [maps(by_name={"a": 1, "b": -2}, m_double={1: 2.5}, m_string={3: ""}), maps()]
+    some[1].m_message[4].SetInParent()
+    _same([m.SerializeToString() for m in some], maps)
+    kind = _arrow_type(rest.schema.file_set, rest.full_name, None)
+    part = rest(level=level(c=b"x")).SerializeToString()
+    for odd in (part + part, b"\x0b\x0c", b"\x08", b"\x80" * 11, b"\x12\x05a"):
+        with pytest.raises(Odd):
+            struct_of(pa.array([odd], pa.binary()), rest.shadow_class.DESCRIPTOR, kind)
+    assert struct_from_wire(pa.array([part + rest(level=level(below=[{"a": "y"}])).SerializeToString()]), rest.shadow_class, kind).to_pylist()[0]["level"] == {"c": b"x", "below": [{"a": "y", "e": None}]}
