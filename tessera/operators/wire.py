@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions.columns import message_to_public, message_to_raw
 from tessera.operators.wireread import Odd, struct_of
+from tessera.operators.wirewrite import wire_of
 from tessera.options import DEFAULT, SchemaOptions
 from tessera.plans.descriptors import MessageType, ProtoSchema, is_map, is_repeated, is_required
 from tessera.plans.schema import raw_type
@@ -96,6 +97,14 @@ def struct_from_wire(raw: pa.Array, cls: type[Message], kind: pa.StructType) ->
         return messages_to_struct([None if b is None else cls.FromString(b) for b in raw.to_pylist()], cls, kind)
 
 
+def wire_from_struct(structs: pa.StructArray, cls: type[Message]) -> pa.Array:
+    """Wire bytes of each raw struct, null for null."""
+    try:
+        return wire_of(structs, cls.DESCRIPTOR)
+    except Odd:
+        return pa.array([None if m is None else m.SerializeToString(deterministic=True) for m in struct_to_messages(structs, cls)], pa.binary())
+
+
 def struct_to_messages(array: pa.StructArray, cls: type[Message]) -> list[Message | None]:
     """One message per struct, None for null.  Null fields stay unset."""
     out = [cls() if valid else None for valid in array.is_valid().to_pylist()]
@@ -162,7 +171,7 @@ def bytes_from_raw(raw: Column, message: MessageType) -> Column:
 
     def serialize(structs: pa.Array) -> pa.Array:
         cls = MessageType(ProtoSchema(file_set), name).shadow_class
-        return pa.array([None if m is None else m.SerializeToString(deterministic=True) for m in struct_to_messages(structs, cls)], pa.binary())
+        return wire_from_struct(structs, cls)
 
     return F.arrow_udf(serialize, "binary")(raw)
 

@@ -10,8 +10,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import enum_from_name, enum_to_name, struct_from_timestamp, timestamp_from_struct, whole_or_null
-from tessera.operators.wire import _arrow_type, from_proto, messages_to_struct, struct_from_wire, to_proto
+from tessera.operators.wire import _arrow_type, from_proto, messages_to_struct, struct_from_wire, struct_to_messages, to_proto, wire_from_struct
 from tessera.operators.wireread import Odd, struct_of
+from tessera.operators.wirewrite import wire_of
 from tessera.options import DEFAULT
 from tessera.plans.schema import as_nullable, schema_for
 from tests.protos import _GAUGE, _KINDS, ALL, GAUGES, HARBOR, TIDES
@@ -209,10 +210,15 @@ def _same(raw, message, fields=None):
     kind = _arrow_type(message.schema.file_set, message.full_name, fields)
     array = pa.array(raw, pa.binary())
     plain = messages_to_struct([None if b is None else cls.FromString(b) for b in raw], cls, kind)
-    as_map = lambda v: dict(v) if isinstance(v, list) and v and isinstance(v[0], tuple) else v
+    as_map = lambda v: dict(sorted(v)) if isinstance(v, list) and v and isinstance(v[0], tuple) else v
     loose = lambda rows: [r and {k: as_map(v) for k, v in r.items()} for r in rows]
     assert repr(loose(struct_of(array, cls.DESCRIPTOR, kind).to_pylist())) == repr(loose(plain.to_pylist()))
     assert repr(loose(struct_from_wire(array.slice(1), cls, kind).to_pylist())) == repr(loose(plain.to_pylist()[1:]))
+    if fields is None:
+        written = [m and m.SerializeToString(deterministic=True) for m in struct_to_messages(plain, cls)]
+        assert [x or None for x in wire_from_struct(plain, cls).to_pylist()] == [x or None for x in written]
+        assert [x or None for x in wire_from_struct(plain.slice(1), cls).to_pylist()] == [x or None for x in written[1:]]
+        assert [x or None for x in wire_of(plain.slice(2), cls.DESCRIPTOR).to_pylist()] == [x or None for x in written[2:]]
 
 
 @pytest.mark.parametrize("name", ["all2.Scalars", "all3.Scalars"])
@@ -244,8 +250,9 @@ def test_numpy_reads_the_rest_as_the_runtime():
     _same(raw, rest)
     _same(raw, rest, ("text",))
     maps = ALL.message("all3.Maps")
-    some = [maps(by_name={"a": 1, "b": -2}, m_double={1: 2.5}, m_string={3: ""}), maps()]
-    some[1].m_message[4].SetInParent()
+    some = [maps(by_name={"a": 1, "b": -2}), maps(m_bytes={0: b""}), maps(m_double={1: 2.5}, m_string={3: ""}), maps(m_sint64={-1: -5}, m_bool={2: False}), maps()]
+    some[4].m_message[4].SetInParent()
+    some[3].m_message[0].below.add(a="q", e=5)
     _same([m.SerializeToString() for m in some], maps)
     kind = _arrow_type(rest.schema.file_set, rest.full_name, None)
     part = rest(level=level(c=b"x")).SerializeToString()
