@@ -142,21 +142,22 @@ def with_next(docs: DataFrame, derive: Callable[[DataFrame], DataFrame], *column
     # a hot doc_id has a place of its own between those of smaller and of larger ones
     above = F.when(at > F.array_max(F.filter(longs(hot), lambda h: h <= at)), 1).otherwise(0) if hot else F.lit(0)
     hot_at = F.array_max(F.filter(longs(hot), lambda h: h <= at)) if hot else F.lit(None).cast("long")
-    key = F.struct(coarse.alias("i"), fine.alias("j"), F.coalesce(hot_at, F.lit(_LEAST)).alias("h"), above.alias("a"), inside_id.alias("k"))
+    # one plain column, so that the join below finds rows where the window has put them
+    key = F.concat_ws(":", coarse, fine, F.coalesce(hot_at, F.lit(_LEAST)), above, inside_id)
     ranged = lambda df: df.withColumn("_range", key)
     place = F.struct(at.alias("at"), turned.alias("turned"))
     inside = Window.partitionBy("_range").orderBy(at.desc(), turned.desc(), F.col("text"))
     # one lead for each column: a struct would be built, and its text moved twice, before the shuffle
     rows = ranged(derive(docs)).select("*", *(F.lead(c).over(inside).alias(f"next_{c}") for c in columns), F.lead(F.lit(True)).over(inside).alias("_inside"))
-    tops = ranged(docs.select("doc_id", "text")).groupBy("_range").agg(F.max(place).alias("_top"))
+    tops = ranged(docs.select("doc_id", "text")).groupBy("_range").agg(F.max(place).alias("_top"), F.min(coarse).alias("_part"))
     tops = staged(tops, "tops")
     # of each of the RANGES, the first row of all; the last of it is followed by the first of the one below
-    firsts_of = tops.groupBy(F.col("_range.i").alias("_i")).agg(F.max("_top").alias("_first"))  # RANGES rows at most
+    firsts_of = tops.groupBy(F.col("_part").alias("_i")).agg(F.max("_top").alias("_first"))  # RANGES rows at most
     below = Window.partitionBy(F.lit(0)).orderBy(F.desc("_i"))
     all_of = Window.partitionBy(F.lit(0))
     after = firsts_of.select("_i", F.coalesce(F.lead("_first").over(below), F.max("_first").over(all_of)).alias("_after"))
-    downward = Window.partitionBy("_range.i").orderBy(F.desc("_range"))
-    following = tops.withColumn("_lead", F.lead("_top").over(downward)).join(after, F.col("_range.i") == F.col("_i"))
+    downward = Window.partitionBy("_part").orderBy(F.desc("_top"))
+    following = tops.withColumn("_lead", F.lead("_top").over(downward)).join(after, F.col("_part") == F.col("_i"))
     following = staged(following.select(F.col("_range").alias("_from"), F.coalesce("_lead", "_after").alias("_to")), "ranges")
     firsts = docs.join(following, (at == F.col("_to.at")) & (turned == F.col("_to.turned"))).groupBy("_from").agg(F.min("text").alias("text"))
     firsts = derive(firsts.withColumn("doc_id", F.lit(None).cast("long"))).select("_from", *(F.col(c).alias(f"_first_{c}") for c in columns))
