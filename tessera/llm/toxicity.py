@@ -3,7 +3,8 @@
 Terms are byte 5-grams of the lower-cased text in which all that is not a letter
 or digit became one space, so they hold short words whole and the starts, middles
 and ends of longer ones.  Of their hashes, those that tell the labels apart are
-kept; the machine weighs each and, by products of factors, each pair of them.
+kept, be it in all rows or only in rows that hold another such term; the machine
+weighs each and, by products of factors, each pair of them.
 """
 
 from __future__ import annotations
@@ -25,6 +26,12 @@ FACTORS = 8
 TERMS = 1024
 #: Standard deviations that a term's rates under the two labels must differ by.
 LEAST_Z = 3.3
+#: Terms that tell the labels apart only beside an anchor, at most, and the standard deviations they must differ by there.
+PAIR_TERMS = 256
+PAIR_Z = 4.5
+#: Anchors: the strongest terms that seldom occur in the same rows, with enough rows of either label.
+ANCHORS = 8
+ANCHOR_ROWS = 10
 #: Labelled rows that a model is fitted on, at most, taken in the order of a hash of doc_id.
 FIT_ROWS = 20_000
 THRESHOLD = 0.3
@@ -133,9 +140,90 @@ def train(x: np.ndarray, y: np.ndarray, factors: int = FACTORS, steps: int = 240
     return b, w, v
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int = FIT_ROWS, terms: int = TERMS) -> FactorizationMachine | None:
+def _difference(n0: Column | int, n1: Column | int) -> tuple[Column, Column]:
+    """(share of rows with a term, standard deviations between its rates under the labels) of columns n0, n1 out of ``n0``, ``n1`` rows."""
+    a, b = F.col("n1") + 0.5, F.col("n0") + 0.5
+    p = (a + b) / (n0 + n1 + 1)
+    return p, F.abs(F.try_divide(a / (n1 + 0.5) - b / (n0 + 0.5), F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))))
+
+
+def _anchors(x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Columns of ``x``, the strongest first, that share at most half of their rows with any before them."""
+    chosen: list[int] = []
+    for j in range(x.shape[1]):
+        rows = x[:, j].astype(bool)
+        if min(np.count_nonzero(rows & (y == c)) for c in (0, 1)) < ANCHOR_ROWS:
+            continue
+        if all(2 * np.count_nonzero(rows & (x[:, k] > 0)) <= np.count_nonzero(rows | (x[:, k] > 0)) for k in chosen):
+            chosen.append(j)
+        if len(chosen) == ANCHORS:
+            break
+    return chosen
+
+
+def _beside(rows: DataFrame, anchors: list[tuple[int, int, int]], slots: np.ndarray, limit: int) -> list[int]:
+    """Terms without a slot that tell the labels apart among the rows of an anchor (hash, its rows of label 0 and of 1)."""
+    number = np.full(1 << HASH_BITS, -1, dtype=np.int64)
+    number[[h for h, _, _ in anchors]] = np.arange(len(anchors))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def told() -> pa.RecordBatch:
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+        for batch in _slices(batches):
+            y = batch.column(0).to_numpy()
+            for i, found in document_terms(batch.column(1).to_pylist()):
+                at = number[found]
+                at = at[at >= 0]
+                if len(at):
+                    new = found[slots[found] < 0].astype(np.int64)
+                    held.append(((at[:, None] << HASH_BITS | new) << 1 | int(y[i])).reshape(-1))
+            if sum(map(len, held)) > 1 << 21:
+                yield told()
+        if held:
+            yield told()
+
+    key = F.col("key")
+    per = (
+        rows.mapInArrow(counted, "key long, n long")
+        .groupBy(F.shiftright(key, HASH_BITS + 1).cast("int").alias("anchor"), F.shiftright(key, 1).bitwiseAND((1 << HASH_BITS) - 1).alias("term"))
+        .agg(*(F.sum(F.when(key.bitwiseAND(1) == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)))
+        .where("n0 + n1 >= 3")
+    )
+    totals = [F.array(*(F.lit(float(a[c])) for a in anchors))[F.col("anchor")] for c in (1, 2)]
+    p, z = _difference(*totals)
+    best = per.where(p < 0.95).where(z >= PAIR_Z).groupBy("term").agg(F.max(z).alias("z")).orderBy(F.desc("z"), "term").limit(limit)
+    return [r["term"] for r in best.collect()]
+
+
+def _matrix(rows: DataFrame, slots: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """0/1 of rows by terms, and labels."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            found = [t for _, t in document_terms(batch.column(1).to_pylist(), slots)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["y", "terms"])
+
+    got = rows.mapInArrow(kept, "y int, terms array<int>").toArrow()
+    y = got.column("y").to_numpy().astype(np.float64)
+    x = np.zeros((len(y), width), dtype=np.uint8)
+    for chunk_at, chunk in _chunks(got.column("terms")):
+        owner = np.repeat(np.arange(len(chunk)) + chunk_at, np.diff(chunk.offsets.to_numpy()))
+        x[owner, chunk.flatten().to_numpy()] = 1
+    return x, y
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int = FIT_ROWS, terms: int = TERMS, pair_terms: int = PAIR_TERMS) -> FactorizationMachine | None:
     """Learn ``label`` (0 or 1) from ``labels`` (doc_id, label) and the texts of ``docs``.
 
+    The machine's terms are at most ``terms`` that tell the labels apart in all rows,
+    and at most ``pair_terms`` more that do so in rows with one of a few strong terms,
+    such as a group's name that counts only beside an insult.
+
     At most ``fit_rows`` labelled doc_ids are used, a sample that depends on doc_id
     alone; a doc_id labelled more than once counts as 1 if any of its labels is, and
     any label but 0 counts as 1.  A doc_id with several texts gives one row, that of
@@ -166,24 +254,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int
     if not totals or not totals["n0"] or not totals["n1"]:
         return None
     n0, n1 = totals["n0"], totals["n1"]
-    a, b = F.col("n1") + 0.5, F.col("n0") + 0.5
-    p = (a + b) / (n0 + n1 + 1)
-    z = (a / (n1 + 0.5) - b / (n0 + 0.5)) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
-    best = per.where("term >= 0 and n0 + n1 >= 3").where(p < 0.95).select("term", F.abs(z).alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(terms).collect()
+    p, z = _difference(n0, n1)
+    best = per.where("term >= 0 and n0 + n1 >= 3").where(p < 0.95).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(terms).collect()
     slots = np.full(1 << HASH_BITS, -1, dtype=np.int32)
     slots[[r["term"] for r in best]] = np.arange(len(best))
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            found = [t for _, t in document_terms(batch.column(1).to_pylist(), slots)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["y", "terms"])
-
-    got = rows.mapInArrow(kept, "y int, terms array<int>").toArrow()
-    y = got.column("y").to_numpy().astype(np.float64)
-    x = np.zeros((len(y), len(best)), dtype=np.uint8)
-    for chunk_at, chunk in _chunks(got.column("terms")):
-        owner = np.repeat(np.arange(len(chunk)) + chunk_at, np.diff(chunk.offsets.to_numpy()))
-        x[owner, chunk.flatten().to_numpy()] = 1
+    x, y = _matrix(rows, slots, len(best))
+    anchors = [(best[j]["term"], best[j]["n0"], best[j]["n1"]) for j in _anchors(x, y)] if pair_terms else []
+    if anchors and (more := _beside(rows, anchors, slots, pair_terms)):
+        slots[more] = np.arange(len(best), len(best) + len(more))
+        x, y = _matrix(rows, slots, len(best) + len(more))
     signs = np.packbits(x, axis=1)
     order = sorted(range(len(y)), key=lambda i: (y[i], signs[i].tobytes()))  # rows come in any order, and sums depend on it
     return FactorizationMachine(slots, *train(x[order], y[order]))

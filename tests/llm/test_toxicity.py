@@ -31,6 +31,30 @@ def test_learns_the_pair(spark):
     assert np.allclose(again.weights, model.weights) and again.bias == model.bias
 
 
+def test_a_term_that_counts_only_beside_others_is_learned(spark):
+    """One insult is toxic beside a group's name, another without it, so the name alone tells nothing."""
+
+    def crossed(n, seed):
+        rng = random.Random(seed)
+        rows = []
+        for i in range(n):
+            text = [rng.choice(["lorem", "ipsum", "dolor", "amet", "velit", "magna"]) for _ in range(rng.randint(5, 30))]
+            one, other, group = (rng.random() < 0.4 for _ in range(3))
+            text += ["blockheads"] * one + ["numskulls"] * other + ["martians"] * group
+            rng.shuffle(text)
+            rows.append((i + seed * 100_000, " ".join(text), int(one if group else other)))
+        return rows
+
+    rows, fresh = crossed(1500, 1), crossed(400, 2)
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    name = toxicity._term_hashes(b"martians")
+    alone = toxicity.fit(df, df.select("doc_id", "toxic"), pair_terms=0)
+    model = toxicity.fit(df, df.select("doc_id", "toxic"))
+    assert (alone.slots[name] < 0).all() and (model.slots[name] >= 0).all()
+    got = {r["doc_id"]: r["score"] >= toxicity.THRESHOLD for r in toxicity.score(spark.createDataFrame(fresh, "doc_id long, text string, y int"), model, "doc_id").collect()}
+    assert np.mean([got[d] == bool(y) for d, _, y in fresh]) > 0.95
+
+
 def test_scores_equal_the_formula():
     rng = np.random.default_rng(0)
     m = toxicity.FactorizationMachine(np.zeros(1), -1.0, rng.normal(size=6), rng.normal(size=(6, 3)))
