@@ -163,7 +163,7 @@ def _anchors(x: np.ndarray, y: np.ndarray) -> list[int]:
 
 def _beside(rows: DataFrame, anchors: list[tuple[int, int, int]], slots: np.ndarray, limit: int) -> list[int]:
     """Terms without a slot that tell the labels apart among the rows of an anchor (hash, its rows of label 0 and of 1)."""
-    number = np.full(1 << HASH_BITS, -1, dtype=np.int64)
+    number = np.full(1 << HASH_BITS, -1, dtype=np.int8)
     number[[h for h, _, _ in anchors]] = np.arange(len(anchors))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,11 +178,11 @@ def _beside(rows: DataFrame, anchors: list[tuple[int, int, int]], slots: np.ndar
             y = batch.column(0).to_numpy()
             for i, found in document_terms(batch.column(1).to_pylist()):
                 at = number[found]
-                at = at[at >= 0]
+                at = at[at >= 0].astype(np.int64)
                 if len(at):
                     new = found[slots[found] < 0].astype(np.int64)
                     held.append(((at[:, None] << HASH_BITS | new) << 1 | int(y[i])).reshape(-1))
-            if sum(map(len, held)) > 1 << 21:
+            if sum(map(len, held)) > 1 << 19:
                 yield told()
         if held:
             yield told()
@@ -240,22 +240,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, 1 << HASH_BITS), dtype=np.int64)
-        total = np.zeros(2, dtype=np.int64)
         for batch in _slices(batches):
             y = batch.column(0).to_numpy()
-            total += np.bincount(y, minlength=2)
             for i, found in document_terms(batch.column(1).to_pylist()):
                 n[y[i], found] += 1
         there = np.flatnonzero(n.sum(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(there, -1)), *(pa.array(np.append(n[c, there], total[c])) for c in (0, 1))], names=["term", "n0", "n1"])
+        yield pa.RecordBatch.from_arrays([pa.array(there), *(pa.array(n[c, there]) for c in (0, 1))], names=["term", "n0", "n1"])
 
-    per = rows.mapInArrow(counted, "term long, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    totals = per.where("term = -1").first()
-    if not totals or not totals["n0"] or not totals["n1"]:
+    n0, n1 = rows.agg(F.count_if(F.col("y") == 0), F.count_if(F.col("y") == 1)).first()
+    if not n0 or not n1:
         return None
-    n0, n1 = totals["n0"], totals["n1"]
+    per = rows.mapInArrow(counted, "term long, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     p, z = _difference(n0, n1)
-    best = per.where("term >= 0 and n0 + n1 >= 3").where(p < 0.95).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(terms).collect()
+    best = per.where("n0 + n1 >= 3").where(p < 0.95).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(terms).collect()
     slots = np.full(1 << HASH_BITS, -1, dtype=np.int32)
     slots[[r["term"] for r in best]] = np.arange(len(best))
     x, y = _matrix(rows, slots, len(best))
