@@ -35,7 +35,7 @@ ANCHOR_ROWS = 10
 #: Labelled rows that a model is fitted on, at most, taken in the order of a hash of doc_id.
 FIT_ROWS = 20_000
 THRESHOLD = 0.3
-_BLOCK = 1 << 20  # bytes of text that are hashed at once
+_BLOCK = 1 << 17  # bytes of text that are hashed at once
 _SPACE = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
