@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tessera.options import DEFAULT, MessageEncoder, SchemaOptions
 from tessera.plans.descriptors import enum_of, is_map, is_repeated
-from tessera.plans.schema import as_nullable, data_type_for, schema_for
+from tessera.plans.schema import as_nullable, chosen_within, data_type_for, is_chosen, schema_for
 
 
 def _literal_map(pairs: dict) -> Column:
@@ -79,20 +79,22 @@ def _plain(descriptor: Descriptor, options: SchemaOptions, raw: bool, above: tup
 def message_to_public(raw: Column, descriptor: Descriptor, options: SchemaOptions = DEFAULT, fields: tuple[str, ...] | None = None) -> Column:
     """A raw struct as users see it: enum names, unpacked wrappers, encoders' columns, column names."""
     name = descriptor.full_name
+    if fields is not None and options.custom_type(name) is not None:
+        raise ValueError(f"{name} is one column; no fields can be taken out of it")
     if name in options.message_encoders:
         return options.message_encoders[name].to_col(raw)
     if options.is_unpacked_wrapper(name):
         return raw["value"]
     if fields is None and _plain(descriptor, options, False):
         return raw
-    parts = [_field_to_public(raw[fd.name], fd, options).alias(options.column_naming(fd)) for fd in descriptor.fields if fields is None or fd.name in fields]
+    parts = [_field_to_public(raw[fd.name], fd, options, chosen_within(fields, fd.name)).alias(options.column_naming(fd)) for fd in descriptor.fields if is_chosen(fields, fd.name)]
     return F.when(raw.isNotNull(), F.struct(*parts)) if parts else raw
 
 
-def _field_to_public(raw: Column, fd: FieldDescriptor, options: SchemaOptions) -> Column:
+def _field_to_public(raw: Column, fd: FieldDescriptor, options: SchemaOptions, fields: tuple[str, ...] | None = None) -> Column:
     def single(c: Column, of: FieldDescriptor) -> Column:
         if of.message_type is not None:
-            return message_to_public(c, of.message_type, options)
+            return message_to_public(c, of.message_type, options, fields)
         enum = enum_of(of)
         return c if enum is None else enum_to_name(c, enum)
 

@@ -83,6 +83,27 @@ def as_nullable(kind: T.DataType) -> T.DataType:
     return kind
 
 
+def is_chosen(fields: tuple[str, ...] | None, name: str) -> bool:
+    return fields is None or any(f == name or f.startswith(f"{name}.") for f in fields)
+
+
+def chosen_within(fields: tuple[str, ...] | None, name: str) -> tuple[str, ...] | None:
+    """What ``fields`` ("items.id") takes out of the messages of field ``name``; None: all."""
+    if fields is None or name in fields:
+        return None
+    return tuple(f.removeprefix(f"{name}.") for f in fields if f.startswith(f"{name}."))
+
+
+def unknown_fields(descriptor: Descriptor, fields: tuple[str, ...]) -> list[str]:
+    out = []
+    for path in fields:
+        name, _, rest = path.partition(".")
+        fd = descriptor.fields_by_name.get(name)
+        if fd is None or (rest and (fd.message_type is None or is_map(fd) or unknown_fields(fd.message_type, (rest,)))):
+            out.append(path)
+    return sorted(set(out))
+
+
 def raw_type(descriptor: Descriptor, fields: tuple[str, ...] | None = None, above: tuple[str, ...] = ()) -> T.StructType:
     """The struct that workers read and write: enums are numbers, no option applied."""
     if descriptor.full_name in above or len(above) >= MAX_DEPTH:
@@ -91,7 +112,7 @@ def raw_type(descriptor: Descriptor, fields: tuple[str, ...] | None = None, abov
 
     def singular(fd: FieldDescriptor) -> T.DataType:
         if fd.message_type is not None:
-            return raw_type(fd.message_type, None, inside)
+            return raw_type(fd.message_type, chosen_within(fields, fd.name) if fd.containing_type is descriptor else None, inside)
         return T.IntegerType() if enum_of(fd) is not None else singular_type(fd)
 
     def kind(fd: FieldDescriptor) -> T.DataType:
@@ -99,4 +120,4 @@ def raw_type(descriptor: Descriptor, fields: tuple[str, ...] | None = None, abov
             return T.MapType(singular(fd.message_type.fields_by_name["key"]), singular(fd.message_type.fields_by_name["value"]))
         return T.ArrayType(singular(fd)) if is_repeated(fd) else singular(fd)
 
-    return T.StructType([T.StructField(fd.name, kind(fd)) for fd in descriptor.fields if fields is None or fd.name in fields])
+    return T.StructType([T.StructField(fd.name, kind(fd)) for fd in descriptor.fields if is_chosen(fields, fd.name)])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.columns import fill_repeated, message_schema
+from tessera.functions.columns import fill_repeated, message_schema, message_to_public
 from tessera.operators import udfs, wire
 from tessera.options import DEFAULT, SchemaOptions
 from tessera.plans.descriptors import MessageType
@@ -51,10 +51,12 @@ class ProtoSQL:
     def decode(self, df: DataFrame, message: MessageType, column: str = "value", fields: tuple[str, ...] | None = None) -> DataFrame:
         """A frame of wire bytes, also a streaming one, as the message's columns; others are left out.
 
+        Each message is read once, whatever filters and generators follow.
         A message whose column is no struct (an unpacked wrapper, or one with an
         encoder) gives one column, ``value``.
         """
-        decoded = df.select(self.from_proto(F.col(column), message, fields).alias("value"))
+        raw = df.select(wire.raw_from_bytes(F.col(column), message, fields, once=True).alias("raw"))
+        decoded = raw.select(message_to_public(F.col("raw"), message.descriptor, self.options, fields).alias("value"))
         return decoded.select("value.*") if isinstance(decoded.schema["value"].dataType, T.StructType) and decoded.schema["value"].dataType.fields else decoded
 
     def encode(self, df: DataFrame, message: MessageType, name: str = "value") -> DataFrame:
@@ -73,7 +75,10 @@ class ProtoSQL:
         wanted = as_nullable(declared)
         if missing := _missing(wanted, df.schema, ""):
             raise ValueError(f"{message.full_name} needs columns that are not there: {', '.join(missing)}")
-        fitted = df.to(wanted)
+        if as_nullable(df.select(*(F.col(f"`{f.name}`") for f in wanted)).schema) == wanted:  # `to` makes arrays of structs anew, even so
+            fitted = df.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in wanted))
+        else:
+            fitted = df.to(wanted)
         columns = []
         for f, d in zip(wanted, declared, strict=True):
             filled = fill_repeated(F.col(f"`{f.name}`"), f.dataType, d.dataType)

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from tessera.operators.udfs import proto_udf
 from tessera.options import DEFAULT
+from tessera.queries import repeated_items_explode
 from tessera.sources import frames
 from tessera.sources.frames import ProtoSQL, default, parquet_safe, write_parquet
 from tessera.streaming.streams import decode_stream, encode_stream
+from tessera.tables import SHOP
 from tests.protos import CARGO, HARBOR, TIDES
 
 VESSEL = HARBOR.message("harbor.Vessel")
@@ -132,3 +134,42 @@ def test_streams_of_scalars(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     assert sorted(map(tuple, _run(decode_stream(stream, whole), "scalars_out"))) == [(0, 0), (1, 10), (2, 20)]
+
+
+def test_messages_are_read_once(spark, tmp_path):
+    """Neither a filter nor a generator on what was decoded has the bytes read again."""
+    df = default.decode(spark.createDataFrame([(tug().SerializeToString(),)], "value binary"), VESSEL)
+    for read in (df.where("registry > 2").select("callsign"), df.select(F.explode("calls").alias("c")), df.where("callsign = 'x'").groupBy("registry").count()):
+        assert read._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_repeated_items_are_read_and_named_once(spark, sf_dir):
+    plan = repeated_items_explode(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "size(" not in plan
+
+
+def test_frames_that_fit_are_not_rebuilt(spark):
+    df = default.create_dataframe(spark, [tug()], VESSEL)
+    kind = df.schema["calls"].dataType
+    whole = df.drop("calls").crossJoin(spark.range(1).select(F.array(F.from_json(F.lit('{"mooring":"m"}'), kind.elementType)).alias("calls")))
+    for rows in (df, whole):
+        again = default.as_message(rows.withColumn("more", F.lit(1)), VESSEL)
+        assert again.columns == df.columns and again.schema["calls"].dataType == kind
+        assert again.collect() == rows.select(*df.columns).collect()
+        assert "transform(" not in again._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chosen_fields_of_inner_messages(spark):
+    order = SHOP.message("shop.Order")
+    df = spark.createDataFrame([(order(o_orderkey=1, items=[{"l_partkey": 5, "l_returnflag": 9, "l_quantity": 2.0}, {}]).SerializeToString(),), (order().SerializeToString(),), (None,)], "value binary")
+    got = default.decode(df, order, fields=("items.l_partkey", "items.l_returnflag", "o_orderkey", "items.l_shipdate.nanos"))
+    assert [r.asDict(True) for r in got.collect()] == [
+        {"o_orderkey": 1, "items": [{"l_partkey": 5, "l_returnflag": "9", "l_shipdate": None}, {"l_partkey": 0, "l_returnflag": "UNKNOWN_FLAG", "l_shipdate": None}]},
+        {"o_orderkey": 0, "items": []},
+        {"o_orderkey": None, "items": None},
+    ]
+    for wrong in ("items.gone", "o_orderkey.x", "gone.x"):
+        with pytest.raises(ValueError, match="has no field"):
+            default.decode(df, order, fields=(wrong,))
+    with pytest.raises(ValueError, match="one column"):
+        ProtoSQL(DEFAULT.with_spark_timestamps()).decode(df, order, fields=("items.l_shipdate.nanos",))
