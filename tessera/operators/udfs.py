@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions.columns import enum_from_name, enum_to_name, message_to_public, message_to_raw
-from tessera.operators.wire import messages_to_struct, struct_to_messages
+from tessera.operators.wire import struct_from_wire, wire_from_struct
 from tessera.options import DEFAULT, SchemaOptions
 from tessera.plans.descriptors import EnumType, MessageType, ProtoSchema
 from tessera.plans.schema import raw_type
@@ -33,7 +33,7 @@ def _to_python(kind: Kind) -> Callable[[pa.Array], list]:
     def messages(a: pa.Array) -> list:
         own = MessageType(ProtoSchema(file_set), name).message_class
         shadow = MessageType(ProtoSchema(file_set), name).shadow_class
-        return [None if m is None else own.FromString(m.SerializeToString()) for m in struct_to_messages(a, shadow)]
+        return [None if b is None else own.FromString(b) for b in wire_from_struct(a, shadow).to_pylist()]
 
     return messages
 
@@ -51,7 +51,7 @@ def _from_python(kind: Kind) -> tuple[T.DataType, Callable[[list], pa.Array]]:
 
     def structs(values: list) -> pa.Array:
         shadow = MessageType(ProtoSchema(file_set), name).shadow_class
-        return messages_to_struct([None if m is None else shadow.FromString(m.SerializeToString()) for m in values], shadow, arrow)
+        return struct_from_wire(pa.array([None if m is None else m.SerializeToString() for m in values], pa.binary()), shadow, arrow)
 
     return raw, structs
 

@@ -4,7 +4,9 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from tessera.operators import udfs, wire
 from tessera.operators.udfs import proto_udf
 from tessera.options import DEFAULT
 from tessera.queries import repeated_items_explode
@@ -173,3 +175,20 @@ def test_chosen_fields_of_inner_messages(spark):
             default.decode(df, order, fields=(wrong,))
     with pytest.raises(ValueError, match="one column"):
         ProtoSQL(DEFAULT.with_spark_timestamps()).decode(df, order, fields=("items.l_shipdate.nanos",))
+
+
+def test_messages_of_user_functions_pass_as_whole_batches(monkeypatch):
+    """As wire bytes that numpy reads and writes, not field by field in Python."""
+
+    def slow(*_):
+        raise AssertionError("row by row")
+
+    (kind, write), read = udfs._from_python(VESSEL), udfs._to_python(VESSEL)
+    messages = [tug(), None, VESSEL()]
+    plain = wire.messages_to_struct([m and VESSEL.shadow_class.FromString(m.SerializeToString()) for m in messages], VESSEL.shadow_class, to_arrow_type(kind))
+    for name in ("struct_to_messages", "messages_to_struct"):
+        monkeypatch.setattr(wire, name, slow)
+    structs = write(messages)
+    assert structs.to_pylist() == plain.to_pylist()
+    assert read(structs) == messages
+    assert read(structs.slice(1)) == messages[1:]
